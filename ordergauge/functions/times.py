@@ -43,20 +43,29 @@ def windows_of(days: Days) -> list[int]:
     return [days] if isinstance(days, int) else sorted(set(days))
 
 
-def partition_date(column: str) -> str:
-    """Name of the date partition column that goes with a timestamp column (see sources.layout)."""
-    return f"{column}_date"
+# How a table can be laid out by a timestamp: suffix of the partition column, and the first day of a date's partition.
+GRAINS = {"date": lambda day: day, "month": lambda day: day.replace(day=1)}
+
+
+def partition_column(column: str, grain: str) -> str:
+    """Name of the partition column that goes with a timestamp column (see sources.layout)."""
+    return f"{column}_{grain}"
+
+
+def partition_columns(df: DataFrame, column: str) -> dict[str, str]:
+    """The partition columns that ``df`` has for ``column``, by grain."""
+    return {grain: partition_column(column, grain) for grain in GRAINS if partition_column(column, grain) in df.columns}
 
 
 def since(df: DataFrame, column: str, start: datetime, inclusive: bool = True) -> DataFrame:
     """Rows with ``column`` at or after ``start`` (strictly after it if not ``inclusive``), without an upper end.
 
-    If ``df`` is laid out by date of that column, the date test lets whole partitions be skipped.
+    If ``df`` is laid out by date of that column, the added test on the date lets whole partitions be skipped.
     """
     stamp = F.col(column)
     keep = stamp >= ts(start) if inclusive else stamp > ts(start)
-    if partition_date(column) in df.columns:
-        keep &= F.col(partition_date(column)) >= F.lit(start.date())
+    for grain, name in partition_columns(df, column).items():
+        keep &= F.col(name) >= F.lit(GRAINS[grain](start.date()))
     return df.filter(keep)
 
 
@@ -64,8 +73,8 @@ def until(df: DataFrame, column: str, end: datetime, inclusive: bool = True) ->
     """Rows with ``column`` at or before ``end`` (strictly before it if not ``inclusive``)."""
     stamp = F.col(column)
     keep = stamp <= ts(end) if inclusive else stamp < ts(end)
-    if partition_date(column) in df.columns:
-        keep &= F.col(partition_date(column)) <= F.lit(end.date())
+    for grain, name in partition_columns(df, column).items():
+        keep &= F.col(name) <= F.lit(GRAINS[grain](end.date()))
     return df.filter(keep)
 
 

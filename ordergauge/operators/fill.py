@@ -134,49 +134,26 @@ def fill_rate_gap(tables: Tables, as_of: AsOf, days: Days = 1, sub_types: tuple[
 
 
 def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
-    """Share of address lines that were filled without any cancelled release line; always one row per sub-type.
-
-    Release lines are reduced to one row per order line before the join, with the sub-types side by side, so the
-    grouping and the join share one shuffle.
-    """
+    """Share of address lines that were filled without any cancelled release line; always one row per sub-type."""
     windows = windows_of(days)
-    kinds = range(len(SUB_TYPES))
-    at = [F.col("sub_type") == name for name in SUB_TYPES]
-    releases = (
-        tables.release_facts.filter(
-            F.col("destination_action").isin("Delivery", "Merge") & F.col("sub_type").isin(*SUB_TYPES)
+    in_windows = window_list(windows, lambda d: F.col("order_created") >= ts(ago(as_of, days=d)))
+    groups = (
+        since(tables.spine, "order_created", ago(as_of, days=windows[-1]))
+        .filter(
+            F.col("destination_action").isin("Delivery", "Merge")
+            & F.col("sub_type").isin(*SUB_TYPES)
+            & ~F.col("delivery_method_id").isin("PickUpAtStore")
+            & (F.col("is_return") != 1)
+            & (F.col("is_even_exchange") != 1)
         )
-        .groupBy("order_pk", "order_line_id")
+        .groupBy("sub_type", "line_pk", "order_id", "order_line_id", "item_id", "order_created")
         .agg(
-            *[F.count_if(at[k]).alias(f"rows_{k}") for k in kinds],
-            *[F.sum(F.when(at[k], F.col("cancelled_quantity"))).alias(f"cancelled_{k}") for k in kinds],
-            *[F.count_if(at[k] & (F.col("cancelled_quantity") > 0)).alias(f"hits_{k}") for k in kinds],
+            F.sum("cancelled_quantity").alias("cancelled"),
+            F.max(F.col("cancelled_quantity") > 0).alias("hit"),
         )
-    )
-    lines = since(tables.line_facts, "order_created", ago(as_of, days=windows[-1])).filter(
-        ~F.col("delivery_method_id").isin("PickUpAtStore")
-        & (F.col("is_return") != 1)
-        & (F.col("is_even_exchange") != 1)
-    )
-    cells = F.array(
-        *[
-            F.struct(
-                F.lit(name).alias("sub_type"),
-                F.col(f"rows_{k}").alias("rows"),
-                F.col(f"cancelled_{k}").alias("cancelled"),
-                F.col(f"hits_{k}").alias("hits"),
-            )
-            for k, name in enumerate(SUB_TYPES)
-        ]
-    )
-    in_windows = window_list(windows, lambda d: F.col("order_created") >= ts(ago(as_of, days=d)))
-    groups = (
-        lines.join(releases, ["order_pk", "order_line_id"])
-        .select("order_id", "order_line_id", "item_id", "order_created", F.inline(cells))
-        .filter(F.col("rows") > 0)
         .select("*", F.explode(in_windows).alias("days"))
         .groupBy("days", "sub_type", "order_id", "order_line_id", "item_id")
-        .agg(F.sum("cancelled").alias("cancelled"), F.count_if(F.col("hits") > 0).alias("lines_hit"))
+        .agg(F.sum("cancelled").alias("cancelled"), F.count_if("hit").alias("lines_hit"))
     )
     counts = groups.groupBy().agg(
         *[
@@ -233,33 +210,17 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
     """
     first = min(start for start, _ in periods.values())
     last = max(end for _, end in periods.values())
-    released = (
-        tables.release_facts.filter(
-            (F.col("org_sub_type") == STORE) & F.lower("destination_action").isin("delivery", "merge")
-        )
-        .groupBy("order_id", "order_line_id")
-        .agg(
-            F.sum(F.coalesce("quantity", F.lit(0.0))).alias("released"),
-            F.sum("fulfilled_quantity").alias("fulfilled"),
-        )
-    )
     cancels = (
         tables["ord_order_line_cancel_history"]
-        .groupBy(F.col("order_line_pk").alias("pk"), "cancel_quantity")
+        .groupBy(F.col("order_line_pk").alias("line_pk"), "cancel_quantity")
         .agg(F.count("*").alias("entries"))
     )
-    orders = until(
-        since(tables["ord_order"], "created_timestamp", _day_start(first)),
-        "created_timestamp",
-        _day_start(last + timedelta(days=1)),
-        inclusive=False,
-    ).filter((F.col("return_line_count") < 1) | F.col("return_line_count").isNull())
     inside = F.filter(
         F.array(
             *[
                 F.when(
-                    (F.col("created_timestamp") >= ts(_day_start(start)))
-                    & (F.col("created_timestamp") < ts(_day_start(end + timedelta(days=1)))),
+                    (F.col("order_created") >= ts(_day_start(start)))
+                    & (F.col("order_created") < ts(_day_start(end + timedelta(days=1)))),
                     F.lit(name),
                 )
                 for name, (start, end) in periods.items()
@@ -267,23 +228,46 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
         ),
         lambda name: name.isNotNull(),
     )
-    ordered = (
-        tables["ord_order_line"]
-        .select("pk", "order_id", "item_id", "order_line_id", "line_type_id", "quantity")
-        .join(cancels, "pk", "left")
-        .join(orders.select("order_id", "org_id", "return_line_count", inside.alias("periods")), "order_id")
+    recent = until(
+        since(tables.spine, "order_created", _day_start(first)),
+        "order_created",
+        _day_start(last + timedelta(days=1)),
+        inclusive=False,
+    )
+    released = (
+        recent.filter(
+            (F.col("org_sub_type") == STORE)
+            & F.lower("destination_action").isin("delivery", "merge")
+            & F.col("line_pk").isNotNull()
+            & ((F.col("return_line_count") < 1) | F.col("return_line_count").isNull())
+        )
+        .groupBy(
+            "line_pk",
+            "org_id",
+            "order_id",
+            "item_id",
+            "order_line_id",
+            "return_line_count",
+            "line_type_id",
+            "line_quantity",
+            inside.alias("periods"),
+        )
+        .agg(
+            F.sum(F.coalesce("released_quantity", F.lit(0.0))).alias("released"),
+            F.sum("fulfilled_quantity").alias("fulfilled"),
+        )
     )
-    ordered_quantity = F.coalesce("quantity", F.lit(0.0)) + F.coalesce("cancel_quantity", F.lit(0.0))
+    ordered_quantity = F.coalesce("line_quantity", F.lit(0.0)) + F.coalesce("cancel_quantity", F.lit(0.0))
     line = ["period", "org_id", "order_id", "item_id", "order_line_id", "return_line_count"]
     entries = F.coalesce("entries", F.lit(1))
     lines = (
-        ordered.join(released, ["order_id", "order_line_id"])
+        released.join(cancels, "line_pk", "left")
         .select("*", F.explode("periods").alias("period"))
-        .groupBy(*line, "line_type_id", "quantity", "cancel_quantity")
+        .groupBy(*line, "line_type_id", "line_quantity", "cancel_quantity")
         .agg(F.sum(F.col("released") * entries).alias("released"), F.sum(F.col("fulfilled") * entries).alias("success"))
         .select(
             *line,
-            F.coalesce("quantity", F.lit(0.0)).alias("remaining"),
+            F.coalesce("line_quantity", F.lit(0.0)).alias("remaining"),
             F.coalesce("cancel_quantity", F.lit(0.0)).alias("cancelled"),
             "released",
             F.least("released", ordered_quantity).alias("attempted"),

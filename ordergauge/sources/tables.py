@@ -7,25 +7,26 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import partition_date
+from ..functions.times import partition_column, partition_columns
 from .schemas import SCHEMAS, checked
 
 
 def renamed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Select ``columns`` (source name: new name), and the date partition column of each timestamp among them."""
+    """Select ``columns`` (source name: new name), and the partition columns of the timestamps among them."""
     picked = []
     for source, target in columns.items():
         picked.append(F.col(source).alias(target))
-        if partition_date(source) in df.columns:
-            picked.append(F.col(partition_date(source)).alias(partition_date(target)))
+        for grain, name in partition_columns(df, source).items():
+            picked.append(F.col(name).alias(partition_column(target, grain)))
     return df.select(*picked)
 
 
 class Tables:
     """Logical tables by name, loaded on first use.
 
-    ``release_facts`` and ``line_facts`` are the joins that most metrics start from. They are plain lazy plans unless
-    the loader knows them as stored tables (see ``plans.shared``).
+    ``line_facts``, ``release_facts`` and ``spine`` are the joins that most metrics start from. They are plain lazy
+    plans unless the loader knows them as stored tables (see ``plans.shared``). They take the keys at their word: a
+    release line belongs to a line of its release's order, and ``order_id`` names one order.
     """
 
     def __init__(self, load: Callable[[str], DataFrame]):
@@ -66,7 +67,7 @@ class Tables:
                 "order_line_id": "order_line_id",
                 "release_line_id": "release_line_id",
                 "item_id": "release_item_id",
-                "quantity": "quantity",
+                "quantity": "released_quantity",
                 "fulfilled_quantity": "fulfilled_quantity",
                 "cancelled_quantity": "cancelled_quantity",
                 "created_timestamp": "release_line_created",
@@ -114,6 +115,8 @@ class Tables:
                 "order_line_id": "order_line_id",
                 "org_id": "line_org_id",
                 "item_id": "item_id",
+                "quantity": "line_quantity",
+                "line_type_id": "line_type_id",
                 "order_line_sub_total": "order_line_sub_total",
                 "cancelled_order_line_sub_total": "cancelled_order_line_sub_total",
                 "created_timestamp": "line_created",
@@ -137,14 +140,30 @@ class Tables:
                 "order_id": "order_id",
                 "org_id": "org_id",
                 "created_timestamp": "order_created",
+                "updated_timestamp": "order_updated",
                 "captured_date": "captured_date",
                 "is_confirmed": "is_confirmed",
+                "max_fulfillment_status_id": "order_max_status",
                 "max_return_status_id": "max_return_status_id",
+                "return_line_count": "return_line_count",
                 "selling_channel_id": "selling_channel_id",
             },
         )
         return lines.join(orders, "order_pk")
 
+    @property
+    def spine(self) -> DataFrame:
+        """One row per release line, with its release, location, order line and order.
+
+        Order and line columns are NULL for a release line without order line; a filter on one of them makes the join
+        an inner one.
+        """
+        return self._derived("spine", lambda: join_spine(self.release_facts, self.line_facts))
+
+
+def join_spine(release_facts: DataFrame, line_facts: DataFrame) -> DataFrame:
+    return release_facts.join(line_facts.drop("order_id"), ["order_pk", "order_line_id"], "left")
+
 
 def parquet_tables(spark: SparkSession, folder: str) -> Tables:
     """Tables stored as ``folder/<name>``, plain or laid out by date (see ``sources.layout``)."""
