@@ -227,7 +227,7 @@ def payment_failure_rate(days: list[int]) -> str:
           join pay_payment_method pm on pm.pk = pt.payment_method_pk
           join ord_order o on o.order_id = pt.order_id
           join ord_payment_status ps on ps.status_id = o.payment_status_id
-          where pt.transaction_type = 'Authorization' and pm.payment_type not in ('AR Credit', 'Gift Card', 'PayPal')
+          where pt.transaction_type = 'Authorization' and pm.card_type is not null and pm.payment_type not in ('AR Credit', 'Gift Card', 'PayPal')
           group by 1, 2, 3)
     where failed_transactions > 0"""
 
@@ -346,7 +346,7 @@ def blind_returns(days: list[int]) -> str:
 def blind_return_rate(days: list[int]) -> str:
     return f"""
     select *, {_pct(_div("blind_returns", "total_returns"))} as blind_return_pct
-    from (select days, org_id = 'MP' as marketplace, count(*) filter (where created_by = '{ACCOUNT}') as blind_returns,
+    from (select days, coalesce(org_id = 'MP', false) as marketplace, count(*) filter (where created_by = '{ACCOUNT}') as blind_returns,
             count(*) as total_returns
           from {_return_rows(days)} group by 1, 2)"""
 
@@ -370,7 +370,7 @@ def open_orders_by_age() -> str:
 
 def open_order_rates() -> str:
     vendor = "filter (where location_sub_type_id = 'DropShipVendor')"
-    other = "filter (where location_sub_type_id <> 'DropShipVendor')"
+    other = "filter (where location_sub_type_id is distinct from 'DropShipVendor')"
     old = "open_30_plus_day"
     totals = {
         "open_7_30_day_rate": _pct(_div("sum(open_7_10_day + open_10_30_day)", f"sum({ALL_AGES})")),
@@ -703,8 +703,9 @@ DAYS = [30, 365]
 HOURS = 8760
 
 
-def texts() -> dict[str, str]:
-    bodies = {
+def bodies() -> dict[str, str]:
+    """The SQL of every registered query over the logical tables."""
+    return {
         "allocation_funnel": allocation_funnel(HOURS),
         "backorder_orders_by_age": backorder_orders_by_age(),
         "backorder_rates": backorder_rates(),
@@ -749,4 +750,8 @@ def texts() -> dict[str, str]:
         "vendor_bounce_rate": vendor_bounce_rate(365),
         "vendor_bounced_orders": vendor_bounced_orders(1),
     }
-    return {name: with_views(f"select * from ({body.strip()})") for name, body in bodies.items()}
+
+
+def texts() -> dict[str, str]:
+    """The SQL of every registered query over the base tables."""
+    return {name: with_views(f"select * from ({body.strip()})") for name, body in bodies().items()}

@@ -28,6 +28,17 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, shuffled_bytes: int, task_bytes: int = 256 << 20) -> int:
+    """Start large shuffles with enough partitions that one fits a task's memory; adaptive execution merges small ones.
+
+    ``shuffled_bytes`` is the size of the largest shuffle, for a full build of the stored joins about the uncompressed
+    size of the release-line columns in use. The setting is only ever raised.
+    """
+    partitions = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shuffled_bytes // task_bytes))
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    return partitions
+
+
 def local_session(cpus: str = "8", name: str = "ordergauge") -> SparkSession:
     """A session for tests and the benchmark."""
     spark = (

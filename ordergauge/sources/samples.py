@@ -30,8 +30,14 @@ VIEWS = {
     """,
     "fw_status_definition": """
         select s.status, s.description, p.profile_id
-        from (values ('1000','Open'),('1500','Back Ordered'),('2000','Allocated'),('3000','Released'),('3500','Packed'),('3600','Picked'),('4500','Shipped'),('7000','Fulfilled'),('7500','Delivered'),('8500','Returned'),('9000','Canceled'),('18000','Closed'),('3000.000','Ready for Pickup'),('9000.000','Canceled')) as s(status, description) 
-          cross join (values ('ITS'),('LEA'),('LPS'),('MP'),('PRO'),('PSW'),('HTW')) as p(profile_id)
+        from (values
+            ('1000', 'Open', 1), ('1500', 'Back Ordered', 1), ('2000', 'Allocated', 1), ('3000', 'Released', 1),
+            ('3500', 'Packed', 1), ('3600', 'Picked', 1), ('4500', 'Shipped', 1), ('7000', 'Fulfilled', 1),
+            ('7500', 'Delivered', 1), ('8500', 'Returned', 1), ('9000', 'Canceled', 1), ('18000', 'Closed', 1),
+            ('3000.000', 'Ready for Pickup', 1), ('9000.000', 'Canceled', 1)
+          ) as s(status, description, every)
+          join (values ('ITS', 1), ('LEA', 1), ('LPS', 1), ('MP', 1), ('PRO', 1), ('PSW', 1), ('HTW', 1)) as p(profile_id, every)
+            on s.every = p.every
     """,
     "ord_order": """
         select o_orderkey as pk,

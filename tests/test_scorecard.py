@@ -1,0 +1,134 @@
+"""Grades, display texts, the scorecard's files, and the ticket pages it counts."""
+
+import csv
+import glob
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from ordergauge.operators import tickets
+from ordergauge.plans import metrics, scorecard
+from ordergauge.sources.sinks import HEADINGS, write_scorecard
+from ordergauge.sources.tables import Tables
+from ordergauge.sources.tickets import read_ticket_pages
+from tests.random_rows import random_rows
+from tests.support import spark_result, spark_tables
+
+
+def plain_grade(value, op, sla, target):
+    if value is None:
+        return "Fails to meet SLA"
+    test = {"<": value.__lt__, "<=": value.__le__, ">": value.__gt__, ">=": value.__ge__, "===": value.__eq__}[op]
+    return "Exceeds SLA" if test(target) else "Meets SLA" if test(sla) else "Fails to meet SLA"
+
+
+def test_grades_at_and_around_the_limits(spark):
+    cases = [
+        (value, op, sla, target)
+        for op in ("<", "<=", ">", ">=", "===")
+        for sla, target in ((15.0, 10.0), (85.0, 97.0), (0.0, 0.0), (97.0, 100.0))
+        for value in (None, 0.0, 9.99, 10.0, 10.01, 15.0, 85.0, 96.99, 97.0, 100.0)
+    ]
+    frame = spark.createDataFrame(cases, "value double, op string, sla double, target double")
+    grade = scorecard.sla_grade(F.col("value"), F.col("op"), F.col("sla"), F.col("target"))
+    for row in frame.withColumn("grade", grade).withColumn("fill", scorecard.status_fill(F.col("grade"))).collect():
+        assert row.grade == plain_grade(row.value, row.op, row.sla, row.target)
+        assert row.fill == {"Exceeds SLA": "FF008000", "Meets SLA": "FF90EE90", "Fails to meet SLA": "FFFF0000"}[row.grade]
+
+
+def test_display_texts(spark):
+    lines = scorecard.goals(spark)
+    values = spark.createDataFrame(
+        [
+            ("cancel_rate_1d", 1.5, None),
+            ("open_critical_tickets", 0.0, None),
+            ("released_pct", 98.25, None),
+            ("payment_failure_1d", 3.2, "American Express"),
+        ],
+        "metric_id string, value double, label string",
+    )
+    rows = {r.metric: r for r in scorecard.scorecard(values, lines).collect()}
+    assert len(rows) == 68
+
+    def shown(metric):
+        row = rows[metric]
+        return row.sla, row.target, row.actual, row.results
+
+    assert shown("Total Cancellation Rate - 1d") == ("< 4%", "< 2%", "1.5%", "Exceeds SLA")
+    assert shown("Open Critical Tickets - Current") == ("<= 0", " 0", "0", "Exceeds SLA")
+    released = "Rate of New Orders Released to Fulfillment (exceptions include, hold, remorse) - 1d"
+    assert shown(released) == (">= 97%", " 100", "98.25%", "Meets SLA")
+    assert shown("Credit Card Fail Rate - 1d") == ("< 10%", "< 1.5%", "American Express: 3.2%", "Meets SLA")
+    assert shown("Store Fill Rate - 1d") == (">= 80%", ">= 85%", None, "Fails to meet SLA")
+
+
+def test_files(spark, tmp_path):
+    values = spark.createDataFrame([("cancel_rate_1d", 1.5, None)], "metric_id string, value double, label string")
+    card = scorecard.scorecard(values, scorecard.goals(spark))
+    write_scorecard(card, str(tmp_path / "csv"))
+    (file,) = glob.glob(str(tmp_path / "csv" / "*.csv"))
+    with open(file, newline="") as lines:
+        rows = list(csv.reader(lines))
+    assert rows[0] == list(HEADINGS.values())
+    assert len(rows) == 69
+    assert rows[3][2:7] == ["Total Cancellation Rate - 1d", "< 4%", "< 2%", "1.5%", "Exceeds SLA"]
+    write_scorecard(card, str(tmp_path / "parquet"), "parquet")
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == 68
+
+
+def test_stored_joins_give_the_same_values(spark):
+    rows = random_rows(11, 60)
+    settings = metrics.ReportSettings("2001-08-02 00:00:00", "2000-10-01", "blind@example.com", "Production Support")
+    tables = spark_tables(spark, rows)
+    for name in rows:
+        tables[name].cache()
+    stored = spark_result(metrics.metric_values(spark, tables, settings))
+    assert stored == spark_result(metrics.metric_values(spark, tables, settings, store=False))
+    ids = [row[1] for row in stored[1]]
+    assert len(ids) == len(set(ids))
+
+
+def issue(key, priority="Critical", component=("critical",), status="To Do", created="2024-01-30T12:00:00.000+0000"):
+    return {
+        "key": key,
+        "fields": {
+            "created": created,
+            "project": {"name": "Production Support"},
+            "priority": {"name": priority},
+            "components": [{"name": name} for name in component],
+            "status": {"statusCategory": {"name": status}},
+        },
+    }
+
+
+@pytest.mark.parametrize("pages, opened, created", [(0, 0, 0), (1, 2, 1), (2, 3, 2)])
+def test_ticket_pages(spark, tmp_path, pages, opened, created):
+    content = [
+        [
+            issue("A-1"),
+            issue("A-2", component=()),
+            issue("A-3", status="Done", component=("orders",)),
+            issue("A-4", priority="Major", created="2024-01-29T23:59:59.000+0000"),
+        ],
+        # A-1 moved to the second page during the export
+        [issue("A-1"), issue("A-5", component=("orders", "critical")), issue("A-6", priority="Major", component=("x",))],
+    ]
+    (tmp_path / "empty.json").write_text(json.dumps({"total": 0, "issues": []}))
+    for number, issues in enumerate(content[:pages]):
+        (tmp_path / f"page-{number}.json").write_text(json.dumps({"total": 7, "issues": issues}, indent=1))
+    tables = Tables(lambda name: read_ticket_pages(spark, str(tmp_path)))
+    project = "Production Support"
+    assert tickets.open_critical_tickets(tables, project).first().tickets == opened
+    assert tickets.critical_tickets_created(tables, "2024-01-31 00:00:00", project).first().tickets == created
+
+
+def test_goals_name_metrics_that_exist(spark):
+    rows = random_rows(12, 80)
+    tables = spark_tables(spark, rows)
+    known = {r.metric_id for r in metrics.metric_values(spark, tables, entry.SETTINGS).collect()}
+    wanted = {goal[-1] for goal in scorecard.GOALS}
+    assert len(wanted) == 68
+    # a group without any row has no value; every kind of metric must be there
+    assert {name.split(":")[0] for name in wanted} - {name.split(":")[0] for name in known} == set()
