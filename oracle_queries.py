@@ -565,15 +565,21 @@ def promise_delivered(days: list[int]) -> str:
     return _promise(days, "l.org_id", verdict, rows, "l.created_timestamp", where)
 
 
+def promise_compliance(days: list[int]) -> str:
+    both = " union all ".join(f"({part(days)})" for part in (promise_released, promise_shipped, promise_delivered))
+    return f"""
+    select days, org_id, coalesce(sum(total) filter (where sla_compliance = 'Yes'), 0)::bigint as in_compliance,
+      coalesce(sum(total) filter (where sla_compliance in ('No', 'Awaiting Release - Failed SLA')), 0)::bigint
+        as not_in_compliance
+    from ({both}) group by 1, 2"""
+
+
 def promise_success_rate(days: list[int]) -> str:
     share = _div("in_compliance", "in_compliance + not_in_compliance")
-    both = " union all ".join(f"({part(days)})" for part in (promise_released, promise_shipped, promise_delivered))
     return f"""
     select *, {_pct(share)} as success_pct
-    from (select days, coalesce(sum(total) filter (where sla_compliance = 'Yes'), 0)::bigint as in_compliance,
-            coalesce(sum(total) filter (where sla_compliance in ('No', 'Awaiting Release - Failed SLA')), 0)::bigint
-              as not_in_compliance
-          from ({both}) group by 1)"""
+    from (select days, sum(in_compliance)::bigint as in_compliance, sum(not_in_compliance)::bigint as not_in_compliance
+          from ({promise_compliance(days)}) group by 1)"""
 
 
 def open_critical_tickets() -> str:
@@ -731,6 +737,7 @@ def bodies() -> dict[str, str]:
         "open_orders_by_age": open_orders_by_age(),
         "payment_failure_rate": payment_failure_rate([7, 30]),
         "payment_failure_rate_max": payment_failure_rate_max([7, 30]),
+        "promise_compliance": promise_compliance(DAYS),
         "promise_delivered": promise_delivered(DAYS),
         "promise_released": promise_released(DAYS),
         "promise_shipped": promise_shipped(DAYS),

@@ -222,10 +222,12 @@ FAMILIES: tuple[Callable[[Tables, ReportSettings], DataFrame], ...] = (
 )
 
 
-def metric_values(spark: SparkSession, tables: Tables, settings: ReportSettings, store: bool = True) -> DataFrame:
+def metric_values(
+    spark: SparkSession, tables: Tables, settings: ReportSettings, store: bool = True, grain: str | None = None
+) -> DataFrame:
     """Every metric value of the report. Each family answers all its windows from one plan; all run as one job.
 
-    ``store`` first writes the two shared joins to the session's checkpoint folder.
+    ``store`` first writes the shared joins to the session's checkpoint folder, partitioned by ``grain`` if given.
     """
-    source = with_stored_facts(spark, tables) if store else tables
+    source = with_stored_facts(spark, tables, grain=grain) if store else tables
     return reduce(DataFrame.unionByName, [family(source, settings) for family in FAMILIES])
