@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 _COLUMNS = {
     "inv_location": "location_id bigint, location_sub_type_id string",
@@ -59,10 +60,31 @@ _COLUMNS = {
 SCHEMAS: dict[str, str] = {name: " ".join(ddl.split()) for name, ddl in _COLUMNS.items()}
 
 
-def checked(name: str, df: DataFrame) -> DataFrame:
-    """``df`` itself, if it has every column of the logical table ``name``. Further columns and wider types are fine."""
-    present = {column.lower() for column in df.columns}
-    missing = [item.split()[0] for item in SCHEMAS[name].split(", ") if item.split()[0] not in present]
+def columns_of(name: str) -> dict[str, str]:
+    """Column names and types of a logical table."""
+    return dict(item.split() for item in SCHEMAS[name].split(", "))
+
+
+def conformed(name: str, df: DataFrame) -> DataFrame:
+    """``df`` with the column names of the logical table ``name``, and its kinds of flags and codes.
+
+    Databases give flags as booleans or numbers and status codes as text or numbers. Timestamps with or without zone and
+    decimal or double numbers are all fine as they are, as are further columns.
+    """
+    actual = {field.name.lower(): field for field in df.schema.fields}
+    missing = [column for column in columns_of(name) if column not in actual]
     if missing:
         raise ValueError(f"table {name} lacks {', '.join(missing)}")
-    return df
+    changed = {}
+    for column, kind in columns_of(name).items():
+        field = actual[column]
+        given = field.dataType.typeName()
+        wrong_flag = (kind == "boolean") != (given == "boolean") and kind in ("boolean", "int")
+        wrong_code = kind == "string" and not given.startswith(("string", "char", "varchar"))
+        if wrong_flag or wrong_code:
+            changed[column] = F.col(field.name).cast(kind).alias(column)
+        elif field.name != column:
+            changed[column] = F.col(field.name).alias(column)
+    if not changed:
+        return df
+    return df.select(*[changed.get(field.name.lower(), F.col(field.name)) for field in df.schema.fields])

@@ -9,7 +9,7 @@ import duckdb
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ordergauge.sources.schemas import SCHEMAS
+from ordergauge.sources.schemas import SCHEMAS, columns_of
 from ordergauge.sources.tables import Tables
 
 ARROW = {
@@ -24,10 +24,6 @@ ARROW = {
 Rows = dict[str, list[dict]]
 
 
-def columns_of(name: str) -> dict[str, str]:
-    return dict(item.split() for item in SCHEMAS[name].split(", "))
-
-
 def _value(kind: str, value):
     if value is None:
         return None

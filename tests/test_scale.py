@@ -12,7 +12,7 @@ from ordergauge.plans.shared import with_stored_facts
 from ordergauge.session import shared_folder, size_shuffles
 from ordergauge.sources.layout import write_tables
 from ordergauge.sources.samples import VIEWS, sample_tables
-from ordergauge.sources.schemas import SCHEMAS
+from ordergauge.sources.schemas import SCHEMAS, columns_of
 from ordergauge.sources.tables import catalog_tables, jdbc_options, parquet_tables
 from tests.random_rows import NOW, random_rows
 from tests.support import duck_result, duck_tables, spark_result, spark_tables
@@ -64,6 +64,16 @@ def test_filters_and_columns_reach_the_scan(spark, stored):
     assert needed | {"created_timestamp_month"} in scans
 
 
+def test_release_history_can_be_left_out(spark, stored):
+    recent = stored.created_since("2001-01-01 00:00:00")
+    plan = plan_of(fill.first_pick_fill_rate(recent, entry.AS_OF, 30))
+    assert len(re.findall(r"PartitionFilters: \[isnotnull\(created_timestamp_month", plan)) >= 3
+    # releases are shipped after their order, so nothing of the last 30 days is lost
+    assert spark_result(fill.first_pick_fill_rate(recent, entry.AS_OF, 30)) == spark_result(
+        fill.first_pick_fill_rate(stored, entry.AS_OF, 30)
+    )
+
+
 def test_a_stored_spine_is_scanned_once_without_joins(spark, stored):
     tables = with_stored_facts(spark, stored, grain="month")
     plan = plan_of(aging.open_orders_by_age(tables, entry.AS_OF))
@@ -198,6 +208,70 @@ def test_catalog_tables_and_their_columns(spark):
         catalog_tables(spark, names)["ord_order"]
 
 
+LIVE_TYPES = {
+    "timestamp_ntz": lambda c: c.cast("timestamp"),
+    "double": lambda c: c.cast("decimal(18,2)"),
+    "int": lambda c: c.cast("tinyint"),
+}
+
+
+@pytest.mark.parametrize(
+    "name",
+    [
+        "allocation_funnel",
+        "bopis_processing_time",
+        "bopis_shorts",
+        "cancel_rate",
+        "open_orders_by_age",
+        "promise_released",
+        "return_to_shelf",
+        "ship_from_store_success_rate",
+        "stuck_in_allocated",
+        "unique_fill_rate",
+    ],
+)
+def test_types_of_a_live_database(spark, live, name):
+    """Upper-case names, timestamps with zone, decimals, flags as booleans or numbers: the values are the same."""
+    given, tables = live
+    build = entry.operators()[name]
+
+    def values(source):
+        result = build(spark, source)
+        plain = [F.col(c).cast("double").alias(c) if t.startswith("decimal") else F.col(c) for c, t in result.dtypes]
+        return spark_result(result.select(*plain))
+
+    assert values(tables) == values(given)
+
+
+@pytest.fixture(scope="module")
+def live(spark):
+    given = spark_tables(spark, random_rows(31))
+
+    def load(name):
+        columns = []
+        for column, kind in columns_of(name).items():
+            value = LIVE_TYPES.get(kind, lambda c: c)(F.col(column))
+            if column in ("is_confirmed", "is_cancelled", "is_return", "is_even_exchange"):
+                value = F.col(column).cast("boolean")
+            elif column == "is_on_hold":
+                value = F.col(column).cast("tinyint")
+            columns.append(value.alias(column.upper()))
+        return given[name].select(*columns)
+
+    names = {}
+    for name in SCHEMAS:
+        given[name].cache()
+        load(name).createOrReplaceTempView(f"typed_{name}")
+        names[name] = f"typed_{name}"
+    return given, catalog_tables(spark, names)
+
+
+def test_numeric_status_codes_become_text(spark):
+    frame = spark.sql("select cast(3000 as decimal(10,3)) as status, 'x' as description, 'LPS' as profile_id")
+    frame.createOrReplaceTempView("typed_status")
+    assert catalog_tables(spark, {"fw_status_definition": "typed_status"})["fw_status_definition"].first().status == "3000.000"
+
+
 def test_jdbc_options_split_the_scan():
     options = jdbc_options("jdbc:mysql://db/x", "ORD_ORDER", "PK", (1, 1000), 8, user="reader")
     assert options["partitionColumn"] == "PK" and options["numPartitions"] == "8" and options["user"] == "reader"
