@@ -227,7 +227,8 @@ def payment_failure_rate(days: list[int]) -> str:
           join pay_payment_method pm on pm.pk = pt.payment_method_pk
           join ord_order o on o.order_id = pt.order_id
           join ord_payment_status ps on ps.status_id = o.payment_status_id
-          where pt.transaction_type = 'Authorization' and pm.card_type is not null and pm.payment_type not in ('AR Credit', 'Gift Card', 'PayPal')
+          where pt.transaction_type = 'Authorization' and pm.card_type is not null
+            and pm.payment_type not in ('AR Credit', 'Gift Card', 'PayPal')
           group by 1, 2, 3)
     where failed_transactions > 0"""
 

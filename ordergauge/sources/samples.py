@@ -37,8 +37,8 @@ VIEWS = {
             ('7500', 'Delivered', 1), ('8500', 'Returned', 1), ('9000', 'Canceled', 1), ('18000', 'Closed', 1),
             ('3000.000', 'Ready for Pickup', 1), ('9000.000', 'Canceled', 1)
           ) as s(status, description, every)
-          join (values ('ITS', 1), ('LEA', 1), ('LPS', 1), ('MP', 1), ('PRO', 1), ('PSW', 1), ('HTW', 1)) as p(profile_id, every)
-            on s.every = p.every
+          join (values ('ITS', 1), ('LEA', 1), ('LPS', 1), ('MP', 1), ('PRO', 1), ('PSW', 1), ('HTW', 1)
+          ) as p(profile_id, every) on s.every = p.every
     """,
     "ord_order": """
         select o_orderkey as pk,

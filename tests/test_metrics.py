@@ -40,15 +40,17 @@ def release_of(pk, number=0, location=1, **more):
     return head, line | more
 
 
+def add(data, *rows):
+    for name, row in zip(("ord_order", "ord_order_line", "ord_release", "ord_release_line"), rows):
+        data[name].append(row)
+
+
 def test_age_buckets_leave_out_their_boundaries(spark):
     data = places() | {"ord_order": [], "ord_order_line": [], "ord_release": [], "ord_release_line": []}
     edges = [1, 2, 3, 5, 7, 10, 30, 200]
     times = [NOW - timedelta(days=d) + offset for d in edges for offset in (-SECOND, 0 * SECOND, SECOND)]
     for pk, created in enumerate(times):
-        for name, row in zip(("ord_order", "ord_order_line"), open_line(pk, created)):
-            data[name].append(row)
-        for name, row in zip(("ord_release", "ord_release_line"), release_of(pk)):
-            data[name].append(row)
+        add(data, *open_line(pk, created), *release_of(pk))
     row = aging.open_orders_by_age(spark_tables(spark, data), NOW).first().asDict()
     assert row == {
         "location_sub_type_id": "StoreRegular",
@@ -89,8 +91,7 @@ def test_backorder_rates_read_the_buckets_of_the_report(spark):
     for pk, (created, status) in enumerate(cases):
         order, line = open_line(pk, created, min_fulfillment_status_id=status)
         head, released = release_of(pk)
-        for name, row in zip(("ord_order", "ord_order_line", "ord_release", "ord_release_line"), (order, line, head, released)):
-            data[name].append(row)
+        add(data, order, line, head, released)
     row = aging.backorder_rates(spark_tables(spark, data), NOW).first()
     assert row.backordered_0_1_day_rate == 50.0  # one of the two open orders of the last day
     assert row.backordered_30_plus_day_rate == 50.0  # also over the orders of the last day
@@ -161,9 +162,8 @@ def test_time_to_release_per_organisation_and_cumulative(spark):
             data["ord_order"].append({"pk": pk, "order_id": f"O{pk}", "org_id": org, "created_timestamp": NOW})
             for kind, at in (("Allocated", NOW), ("Released", NOW + timedelta(minutes=wait))):
                 milestone = f"Order::Milestone::{kind}"
-                data["ord_order_milestone"].append(
-                    {"order_pk": pk, "milestone_definition_id": milestone, "created_timestamp": at, "updated_timestamp": at}
-                )
+                row = {"order_pk": pk, "milestone_definition_id": milestone}
+                data["ord_order_milestone"].append(row | {"created_timestamp": at, "updated_timestamp": at})
     tables = spark_tables(spark, data)
     single = {r.org_id: r.n97_minutes for r in release.time_to_release(tables, NOW).collect()}
     assert single == {"ITS": 10.0, "MP": 60.0}
@@ -268,7 +268,10 @@ def test_id_patterns(spark):
     assert returned.total_returns == 4  # CIT1, cit1, 1SHT1 and O1
 
 
-@pytest.mark.parametrize("org, minutes, listed", [("MP", 31, False), ("MP", 60, True), ("LPS", 89, False), ("LPS", 91, True), ("XX", 600, False)])
+@pytest.mark.parametrize(
+    "org, minutes, listed",
+    [("MP", 31, False), ("MP", 60, True), ("LPS", 89, False), ("LPS", 91, True), ("XX", 600, False)],
+)
 def test_stuck_order_limits(spark, org, minutes, listed):
     order = {"pk": 1, "order_id": "O1", "org_id": org, "created_timestamp": NOW - timedelta(minutes=minutes)}
     order |= {"is_confirmed": 1, "is_cancelled": 0, "order_total": 1, "is_on_hold": False, "payment_status_id": "1"}
@@ -283,8 +286,7 @@ def test_store_success_compares_destinations_without_case(spark):
         order, line = open_line(pk, NOW - timedelta(days=10), quantity=1)
         head, released = release_of(pk, quantity=2, fulfilled_quantity=1)
         head["destination_action"] = action
-        for name, row in zip(("ord_order", "ord_order_line", "ord_release", "ord_release_line"), (order, line, head, released)):
-            data[name].append(row)
+        add(data, order, line, head, released)
     # three entries of equal quantity make the released quantities of line 0 count three times, at most 1 + 4
     data["ord_order_line_cancel_history"] = [{"order_line_pk": 0, "cancel_quantity": 4}] * 3
     rows = fill.ship_from_store_success_rate(
@@ -296,7 +298,8 @@ def test_store_success_compares_destinations_without_case(spark):
 
 def test_hours_are_cut_towards_zero(spark):
     offsets = [-12600, -3599, 0, 3599, 7199, 7200]
-    frame = spark.createDataFrame([(i, NOW + timedelta(seconds=s)) for i, s in enumerate(offsets)], "i int, at timestamp_ntz")
+    rows = [(i, NOW + timedelta(seconds=s)) for i, s in enumerate(offsets)]
+    frame = spark.createDataFrame(rows, "i int, at timestamp_ntz")
     hours = [r.h for r in frame.select("i", hours_between(ts(NOW), F.col("at")).alias("h")).orderBy("i").collect()]
     assert hours == [-3, 0, 0, 0, 1, 2]
 
