@@ -35,6 +35,8 @@ class Tables:
     def __init__(self, load: Callable[[str], DataFrame]):
         self._load = load
         self._frames: dict[str, DataFrame] = {}
+        # kept apart, so that tables made from these do not inherit joins of other rows
+        self._plans: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
@@ -60,12 +62,13 @@ class Tables:
         return Tables(load)
 
     def _derived(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
-        if name not in self._frames:
+        """The stored table ``name``, else the plan that ``build`` makes from these very tables."""
+        if name not in self._plans:
             try:
-                self._frames[name] = self._load(name)
+                self._plans[name] = self[name]
             except KeyError:
-                self._frames[name] = build()
-        return self._frames[name]
+                self._plans[name] = build()
+        return self._plans[name]
 
     @property
     def release_facts(self) -> DataFrame:
