@@ -25,7 +25,7 @@ RELEASE_TABLES = ("ord_release", "ord_release_line")
 
 
 class Tables:
-    """Logical tables by name, loaded on first use.
+    """Logical tables by name, loaded on first use. ``load`` raises KeyError for a name it does not know.
 
     ``line_facts``, ``release_facts`` and ``spine`` are the joins that most metrics start from. They are plain lazy
     plans unless the loader knows them as stored tables (see ``plans.shared``). They take the keys at their word: a
