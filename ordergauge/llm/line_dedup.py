@@ -162,7 +162,7 @@ FILTER = "shard int, cells binary, stash array<bigint>"
 def _filters(references: DataFrame, shards: int) -> DataFrame:
     """One filter for each shard that has a repeated key; the keys of a shard are bounded by the number of shards."""
 
-    def build(shard, rows: pd.DataFrame) -> pd.DataFrame:
+    def build(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         cuckoo = Cuckoo.sized(len(rows))
         cuckoo.insert(_hashes(rows["key"].sort_values()))
         return _row(shard[0], cuckoo)
@@ -193,7 +193,7 @@ def _changed_filters(index: LineIndex, old: DataFrame, new: DataFrame) -> DataFr
     moved = was.join(now, "key", "full").where("was is null or now is null")
     moved = moved.select("key", F.col("now").isNotNull().alias("enters"), _shard(index.shards).alias("shard"))
 
-    def change(shard, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+    def change(shard: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if len(cells):
             cuckoo = Cuckoo.read(cells["cells"][0], [int(x) % (1 << 64) for x in cells["stash"][0]])
         else:

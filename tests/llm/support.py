@@ -1,0 +1,60 @@
+"""Documents with every kind of trouble, and the whole small table."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import DataFrame, SparkSession
+
+SF_DIR = "/root/testdata/sf0.001"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: names that the operators use themselves
+CLASHES = {
+    "words": "x", "hash": "y", "size": "z", "bucket": "b", "fingerprint": "f", "key": "k", "ids": "i", "secrets": "s",
+    "kept_text": "t", "n_words": "n", "label": "l", "row": "r", "copies": "c", "owner": "o", "decoded": "d",
+}
+
+
+def troubled(seed: int = 1, n: int = 60) -> list[tuple]:
+    """Null ids, texts, sources; empty and blank texts; repeated rows; copies; one id with two texts; a long text."""
+    pick = random.Random(seed)
+    vocabulary = ["alpha", "Beta", "gamma", "é", "DELTA", "ÉTÉ", "x1", "straße", "token", "日本", "the", "of", "=", "😀"]
+    line = lambda k: " ".join(pick.choices(vocabulary, k=k))
+    shared = [line(6) for _ in range(5)]
+    rows = []
+    for i in range(n):
+        lines = [pick.choice(shared) if pick.random() < 0.3 else line(pick.randrange(0, 12)) for _ in range(pick.randrange(1, 9))]
+        text = "\n".join(lines)
+        rows.append((i, text, "en", f"s{pick.randrange(4)}", len(text)))
+    rows += [
+        (100, None, None, None, None),
+        (101, "", "en", "s0", 0),
+        (102, " \t\n \x0b\x0c\r", "en", "", 9),
+        (None, "no id here, only a text", "en", "s1", 23),
+        (None, rows[3][1], "en", None, 1),
+        (None, None, None, None, None),
+        rows[5], rows[5], rows[6],
+        (7, "another text under an id that is taken", "en", "s2", 1),
+        (103, rows[8][1], "de", "s9", 1),
+        (104, rows[8][1], "de", "s9", 1),
+        (105, "\n".join(line(9) for _ in range(900)), "en", "s0", 1),
+        (106, "a b", "en", "s0", 3),
+        (107, "\x00 null byte \x7f and   separators here", "en", "s0", 3),
+    ]
+    return rows
+
+
+def frame(spark: SparkSession, rows: list[tuple], clashes: bool = False) -> DataFrame:
+    made = spark.createDataFrame(rows, SCHEMA)
+    for name, value in (CLASHES if clashes else {}).items():
+        made = made.withColumn(name, made.doc_id.cast("string") if value == "x" else made.lang)
+    return made
+
+
+def plain(rows) -> list[tuple]:
+    return sorted((tuple(r) for r in rows), key=lambda r: tuple((x is None, str(type(x)), x) for x in r))
+
+
+def stored(spark: SparkSession) -> list[tuple]:
+    docs = spark.read.parquet(f"{SF_DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    return [tuple(r) for r in docs.collect()]

@@ -1,0 +1,97 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from ordergauge.llm import mixing, queries
+from tests.llm.support import SF_DIR, frame, plain, stored, troubled
+
+
+def words(text):
+    return len((text or "").encode().split())
+
+
+def targets(sizes, weights=(5, 2, 1), most=3):
+    """By the definition: share by weight, stop at the cap, share the excess again."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    target, stopped, left = dict.fromkeys(order, 0.0), set(), float(sum(sizes.values()))
+    while left > 1e-9 and len(stopped) < len(order):
+        share = sum(weight[s] for s in order if s not in stopped)
+        for s in order:
+            if s not in stopped:
+                target[s] += left * weight[s] / share
+        left = 0.0
+        for s in order:
+            if s not in stopped and target[s] >= most * sizes[s]:
+                left += target[s] - most * sizes[s]
+                target[s] = float(most * sizes[s])
+                stopped.add(s)
+    return target
+
+
+def check(rows, got, most=3):
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r[3]] += words(r[1])
+    target = targets(sizes)
+    assert plain((r.doc_id, r.source, r.size, r.source_size) for r in got) == plain(
+        (r[0], r[3], words(r[1]), sizes[r[3]]) for r in rows
+    )
+    for r in got:
+        assert r.target == pytest.approx(target[r.source], abs=1e-6)
+        f = r.target / r.source_size if r.source_size else 0
+        assert 0 <= r.copies <= most and f - 1 < r.copies < f + 1
+    taken, settled = Counter(), defaultdict(list)
+    for r in got:
+        taken[r.source] += r.copies * r.size
+        settled[r.source].append(r.size)
+    return {s: (taken[s], target[s], settled[s]) for s in sizes}
+
+
+def test_query_on_the_stored_table(spark):
+    got = queries.mixture(spark, SF_DIR).collect()
+    assert all(r.taken == r.copies * r.size for r in got)
+    for taken, target, sizes in check(stored(spark), got).values():
+        assert abs(taken - target) <= max(sizes) / 2 + 1
+
+
+def test_troubled_documents(spark):
+    rows = troubled()
+    check(rows, mixing.copies(frame(spark, rows, clashes=True)).collect())
+    mix = mixing.mixed(frame(spark, rows, clashes=True))
+    assert mix.columns == frame(spark, rows, clashes=True).columns
+    copies = sum(r.copies for r in mixing.copies(frame(spark, rows)).collect())
+    assert mix.count() == copies
+    assert mixing.copies(frame(spark, [])).count() == mixing.mixed(frame(spark, [])).count() == 0
+
+
+def test_a_tree_of_several_levels_comes_close(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 4)
+    draw = random.Random(8)
+    rows = [(i, "w " * min(4000, int(draw.lognormvariate(3, 1.5))), "en", draw.choice("aaaab") + "x", 1) for i in range(2500)]
+    first = mixing.copies(frame(spark, rows)).collect()
+    for taken, target, sizes in check(rows, first).values():
+        assert abs(taken - target) <= 0.001 * target + sorted(sizes)[len(sizes) // 2]
+    again = mixing.copies(frame(spark, rows[::-1]).repartition(3)).collect()
+    assert plain(first) == plain(again)
+    assert plain(first) != plain(mixing.copies(frame(spark, rows), seed=30).collect())
+
+
+def test_copies_follow_the_fractions(spark):
+    rows = [(i, "w " * (1 + i % 7), "en", "abc"[i % 3], 1) for i in range(3000)]
+    got = mixing.copies(frame(spark, rows)).collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        f = own[0].target / own[0].source_size
+        for size in range(1, 8):
+            same = [r.copies for r in own if r.size == size]
+            assert sum(same) / len(same) == pytest.approx(f, abs=0.15)
+
+
+def test_targets_that_stop(spark):
+    sizes = {"a": 10, "b": 1000, "c": 5, "d": 0, "é": 300, None: 40, "B": 7}
+    rows = [(s, n) for s, n in sizes.items()]
+    got = mixing.source_targets(spark.createDataFrame(rows, "source string, size long")).collect()
+    want = targets(sizes)
+    assert {r.source: pytest.approx(r.target) for r in got} == want

@@ -1,0 +1,108 @@
+import random
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import sentencepiece
+
+from ordergauge.llm import queries, sentencepiece_codec
+from ordergauge.llm.queries import MODEL
+from tests.llm.support import SF_DIR, frame, plain, stored, troubled
+
+#: trainer_spec { model_type: UNIGRAM }, which overrides the field before
+UNIGRAM = b"\x12\x02\x18\x01"
+
+
+@pytest.fixture(scope="module")
+def model():
+    with open(MODEL, "rb") as file:
+        return file.read()
+
+
+def in_chunks(codec, text, size):
+    marked, reach = codec.marked(text), codec.longest
+    parts, chunks = [], []
+    for low in range(0, len(marked), size):
+        origin = max(0, low - reach)
+        part = marked[origin : low + size + reach]
+        begin, finish, matrix = codec.transfer(part, low - origin, min(low + size, len(marked)) - origin)
+        shift = lambda states, o=origin: [(s + o, e + o) for s, e in states]
+        parts.append((origin, part))
+        chunks.append((shift(begin), shift(finish), matrix))
+    ids, at = [], 0
+    for (origin, part), (start, end) in zip(parts, sentencepiece_codec.best_states(chunks), strict=True):
+        ids += codec.ids_between(part, (0, at - origin), (start - origin, end - origin))
+        at = end
+    return ids
+
+
+PARTS = [
+    "the ", "international", "ization", "aaaa", "  ", "      ", "é", "日本語", "😀", "\n", "\t", "x", "Exception",
+    "IllegalArgument", " a", "http://", "1234567", "...", "=====", "ab", "ing",
+]
+
+
+@pytest.mark.parametrize("size", [17, 20, 33, 64])
+def test_chunks_give_the_ids_of_the_whole(model, size):
+    codec, pick = sentencepiece_codec.Codec(model), random.Random(size)
+    assert codec.merges
+    for _ in range(400):
+        text = "".join(pick.choices(PARTS, k=pick.randint(1, 40)))
+        text = text.replace(" ", "") if pick.random() < 0.4 else text
+        assert not text or in_chunks(codec, text, size) == codec.encode(text), text
+
+
+def test_a_unigram_model_gives_the_best_score(model):
+    """On some texts the library's own path scores a little less than the best; the chunks never do."""
+    codec, pick = sentencepiece_codec.Codec(model + UNIGRAM), random.Random(2)
+    assert not codec.merges
+    score = lambda ids: sum(codec.library.get_score(i) for i in ids)
+    for _ in range(200):
+        text = "".join(pick.choices([p for p in PARTS if p.isascii() and p.strip()], k=pick.randint(1, 30)))
+        ours, theirs = in_chunks(codec, text, 24), codec.encode(text)
+        assert codec.library.decode(ours) == codec.library.decode(theirs)
+        assert score(ours) >= score(theirs)
+
+
+def test_products_of_matrices_are_associative():
+    draw = np.random.default_rng(1)
+    times = lambda a, b: (a[:, :, None] + b[None]).max(axis=1)
+    a, b, c = (draw.integers(-9, 9, s).astype(float) for s in ((3, 4), (4, 2), (2, 5)))
+    assert (times(times(a, b), c) == times(a, times(b, c))).all()
+
+
+def test_query_on_the_stored_table(spark):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    docs = frame(spark, stored(spark))
+    got = sentencepiece_codec.encode(docs, MODEL, chunk=700).select("doc_id", "ids").collect()
+    want = {r[0]: library.encode(r[1]) for r in stored(spark)}
+    assert len(got) == len(want) and all(list(r.ids) == want[r.doc_id] for r in got)
+    result = queries.sentencepiece(spark, SF_DIR).collect()
+    assert sorted((r.doc_id, r.n_tokens) for r in result) == sorted((i, len(x)) for i, x in want.items())
+    assert all(r.round_trip for r in result)
+
+
+@pytest.mark.parametrize("chunk", [40, 1 << 15])
+def test_troubled_documents(spark, chunk):
+    library = sentencepiece.SentencePieceProcessor(model_file=MODEL)
+    rows = troubled() + [(700, "a▁b ▁ c", "en", "s", 1), (701, "x" * 5000, "en", "s", 1), (702, " " * 300, "en", "s", 1)]
+    docs = frame(spark, rows, clashes=True)
+    encoded = sentencepiece_codec.encode(docs, MODEL, chunk=chunk)
+    assert sorted(encoded.columns) == sorted(docs.columns)
+    got = sentencepiece_codec.decode(encoded, MODEL).select("doc_id", "text", "ids", "decoded").collect()
+    want = [(r[0], r[1], str(library.encode(r[1] or "")), (r[1] or "").replace("▁", " ")) for r in rows]
+    assert plain((r.doc_id, r.text, str(list(r.ids)), r.decoded) for r in got) == plain(want)
+    empty = sentencepiece_codec.encode(frame(spark, []), MODEL)
+    assert sentencepiece_codec.decode(empty, MODEL).count() == 0
+
+
+def test_decoding_any_ids(model):
+    codec = sentencepiece_codec.Codec(model)
+    broken = codec.library.piece_to_id("<0xE9>")
+    lists = pa.array([[broken], [], None, codec.encode("a b"), [1, 2]], pa.list_(pa.int32()))
+    assert codec.decode_batch(lists).to_pylist() == ["�", "", None, "a b", ""]
+
+
+def test_a_chunk_must_hold_a_piece(spark):
+    with pytest.raises(ValueError):
+        sentencepiece_codec.encode(frame(spark, []), MODEL, chunk=4)

@@ -1,0 +1,56 @@
+import zlib
+from collections import Counter, defaultdict
+
+import pytest
+
+from ordergauge.llm import queries, sharding
+from tests.llm.support import SF_DIR, frame, plain, stored, troubled
+
+
+def check(rows, got, shards):
+    assert plain((r.doc_id, r.source, r.size, r.text_crc32) for r in got) == plain(
+        (r[0], r[3], len((r[1] or "").encode()) + 16, zlib.crc32((r[1] or "").encode())) for r in rows
+    )
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values())
+    counts = [len(slots.get(s, ())) for s in range(shards)]
+    assert sum(counts) == len(rows) and max(counts) - min(counts) <= 1
+
+
+def test_query_on_the_stored_table(spark):
+    got = queries.shards(spark, SF_DIR).collect()
+    check(stored(spark), got, 40)
+    assert {(r.law, r.grown_shard) for r in got} == {("rows", None)}
+
+
+@pytest.mark.parametrize("shards", [1, 7, 200])
+def test_troubled_documents(spark, shards):
+    rows = troubled()
+    check(rows, sharding.interleaved_shards(frame(spark, rows, clashes=True), shards).collect(), shards)
+    assert sharding.interleaved_shards(frame(spark, []), shards).count() == 0
+
+
+def test_every_shard_has_the_mixture(spark):
+    weights = {"big": 3000, "mid": 900, None: 600, "small": 60, "one": 1}
+    rows, i = [], 0
+    for source, n in weights.items():
+        for _ in range(n):
+            rows.append((i, f"text {i}", "en", source, 1))
+            i += 1
+    got = sharding.interleaved_shards(frame(spark, rows), 10, rows_together=50).collect()
+    check(rows, got, 10)
+    by = Counter((r.shard, r.source) for r in got)
+    for source, n in weights.items():
+        for shard in range(10):
+            assert abs(by[shard, source] - n / 10) <= 3, (shard, source, by[shard, source])
+
+
+def test_the_same_for_any_order_and_buckets(spark):
+    rows = stored(spark)
+    one = sharding.interleaved_shards(frame(spark, rows), 9).collect()
+    two = sharding.interleaved_shards(frame(spark, rows[::-1]).repartition(5), 9, rows_together=1).collect()
+    assert plain(one) == plain(two)
+    other = sharding.interleaved_shards(frame(spark, rows), 9, seed=18).collect()
+    assert plain(one) != plain(other)
