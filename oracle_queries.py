@@ -13,7 +13,7 @@ AS_OF = "2001-08-02 00:00:00"
 PAYMENT_AS_OF = "2024-01-31 00:00:00"
 FISCAL_START = "2000-10-01"
 ACCOUNT = "blind@example.com"
-PROJECT = "Production Support"
+PROJECT = "Order Desk"
 NOW = f"TIMESTAMP '{AS_OF}'"
 PAY_NOW = f"TIMESTAMP '{PAYMENT_AS_OF}'"
 MORNING = f"TIMESTAMP '{AS_OF[:10]} 02:00:00'"
@@ -94,10 +94,10 @@ def bopis_processing_time(days: list[int]) -> str:
     pairs = f"""
     select w.days, epoch(b.created_timestamp) - epoch(o.captured_date) as v
     from {_windows(days)}, {details} a
-    join {details} b on b.order_line_pk = a.order_line_pk and b.description = 'Released'
-    join ord_order_line l on l.pk = a.order_line_pk and l.delivery_method_id = 'PickUpAtStore'
+    join {details} b on b.order_line_pk = a.order_line_pk and lower(b.description) = 'released'
+    join ord_order_line l on l.pk = a.order_line_pk and lower(l.delivery_method_id) = 'pickupatstore'
     join ord_order o on o.pk = l.order_pk
-    where a.description = 'Open' and a.created_timestamp >= {_start()} and o.created_timestamp >= {_start()}"""
+    where lower(a.description) = 'open' and a.created_timestamp >= {_start()} and o.created_timestamp >= {_start()}"""
     return _trimmed(pairs, "days", "lines", "kept_lines")
 
 
@@ -140,7 +140,7 @@ def fulfilment_cancel_share(days: list[int], chain: bool = False) -> str:
 
 
 PICKUP = """ful_fulfillment_line fl join ful_fulfillment f on f.pk = fl.fulfillment_pk
-      and f.order_type_id <> 'Marketplace' and f.delivery_method_id = 'PickUpAtStore'
+      and lower(f.order_type_id) <> 'marketplace' and lower(f.delivery_method_id) = 'pickupatstore'
     join org_location ol on ol.location_id = f.ship_from_location_id and ol.location_sub_type_id = 'StoreRegular'"""
 
 
@@ -277,8 +277,8 @@ def first_pick_fill_rate(days: list[int]) -> str:
     pct = f"{_div('filled_lines', 'filled_lines + cancelled_lines')} * 100"
     base = f"""select w.days, o.order_id, l.order_line_id, l.item_id, l.pk, il.location_sub_type_id, rl.cancelled_quantity
       from {_windows(days)}, {SPINE}
-      where r.destination_action in ('Delivery', 'Merge') and o.created_timestamp >= {_start()}
-        and l.delivery_method_id <> 'PickUpAtStore' and l.is_return <> 1 and l.is_even_exchange <> 1"""
+      where lower(r.destination_action) in ('delivery', 'merge') and o.created_timestamp >= {_start()}
+        and lower(l.delivery_method_id) <> 'pickupatstore' and l.is_return <> 1 and l.is_even_exchange <> 1"""
     return f"""
     select *, {pct} as first_pick_pct, {_floor2(pct)} as first_pick_rate from (
       select w.days, t.kind as location_sub_type_id,
@@ -360,11 +360,11 @@ def open_orders_by_age() -> str:
             and rl.cancelled_quantity + rl.fulfilled_quantity <> rl.quantity
             and case when l.min_fulfillment_status_id < '3600' then
                   il.location_sub_type_id in ('3PL', 'DropShipVendor', 'OwnedWM')
-                  or l.delivery_method_id = 'PickUpAtStore'
-                  or (l.delivery_method_id = 'ShipToStore' and r.destination_action = 'Merge')
-                  or (l.delivery_method_id = 'ShipToAddress' and il.location_sub_type_id = 'StoreRegular'
+                  or lower(l.delivery_method_id) = 'pickupatstore'
+                  or (lower(l.delivery_method_id) = 'shiptostore' and lower(r.destination_action) = 'merge')
+                  or (lower(l.delivery_method_id) = 'shiptoaddress' and il.location_sub_type_id = 'StoreRegular'
                       and l.min_fulfillment_status_id in ('3000', '3500'))
-                else l.delivery_method_id = 'ShipToAddress' and il.location_sub_type_id = 'StoreRegular'
+                else lower(l.delivery_method_id) = 'shiptoaddress' and il.location_sub_type_id = 'StoreRegular'
                   and l.min_fulfillment_status_id = '3600' end)
     group by 1"""
 
@@ -395,11 +395,11 @@ def open_order_rates() -> str:
 def backorder_orders_by_age() -> str:
     return f"""
     select order_status, {_age_counts("created_timestamp")}
-    from (select distinct o.order_id, s.description as order_status, o.created_timestamp
+    from (select distinct o.order_id, case lower(s.description) when 'allocated' then 'Allocated' else 'Back Ordered' end as order_status, o.created_timestamp
           from ord_order o join ord_order_line l on l.order_pk = o.pk
           join fw_status_definition s on s.status = l.min_fulfillment_status_id and s.profile_id = o.org_id
           where o.created_timestamp >= {NOW} - interval 200 day and {_num("s.status")} < 7000 and o.is_confirmed = 1
-            and s.description in ('Allocated', 'Back Ordered'))
+            and lower(s.description) in ('allocated', 'back ordered'))
     group by 1"""
 
 
@@ -430,7 +430,7 @@ def return_to_shelf(days: int = 3) -> str:
             f.customer_last_name, f.pickup_expiry_date as e, fl.item_id, fl.ordered_qty, fl.item_unit_price,
             s.description
           from ful_fulfillment f join ful_fulfillment_line fl on fl.fulfillment_pk = f.pk
-          join fw_status_definition s on s.status = fl.fulfillment_line_status_id and s.profile_id = 'LPS'
+          join ful_status_definition s on s.status = fl.fulfillment_line_status_id and s.profile_id = 'LPS'
           where f.pickup_expiry_date <= {NOW} - interval {days} day and fl.fulfillment_line_status_id = '3000.000')
     group by ship_to_location_id, c, order_id, fulfillment_id, customer_first_name, customer_last_name, e, item_id,
       ordered_qty, item_unit_price, description"""
@@ -452,7 +452,7 @@ def stale_pick_status() -> str:
     select o.order_id, r.release_id, l.item_id, r.ship_from_location_id, r.delivery_method_id,
       strftime(o.created_timestamp, '%Y-%m-%d') as created_date, s.description, case {cases} end as age
     from {SPINE} join fw_status_definition s on s.status = l.min_fulfillment_status_id and s.profile_id = o.org_id
-    where l.delivery_method_id = 'ShipToAddress' and il.location_sub_type_id = 'StoreRegular'
+    where lower(l.delivery_method_id) = 'shiptoaddress' and il.location_sub_type_id = 'StoreRegular'
       and l.min_fulfillment_status_id = '3600' and rl.fulfilled_quantity + rl.cancelled_quantity < rl.quantity"""
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import floor2, floor_percent, ratio
+from ..functions.texts import same_text
 from ..functions.times import AsOf, Days, ago, day_of, since, ts, until, windows_of
 from ..functions.windows import per_window, window_list
 from ..sources.tables import Tables
@@ -128,7 +129,7 @@ def fill_rate_gap(tables: Tables, as_of: AsOf, days: Days = 1, sub_types: tuple[
             percent.alias("fill_rate_pct"),
             unique_percent.alias("unique_fill_rate_pct"),
         )
-        .filter(F.col("fill_rate_pct").isNotNull() & F.col("location_sub_type_id").isin(*sub_types))
+        .filter(F.col("fill_rate_pct").isNotNull() & same_text(F.col("location_sub_type_id"), *sub_types))
         .withColumn("gap", floor2(F.abs(F.col("fill_rate_pct") - F.col("unique_fill_rate_pct"))))
     )
 
@@ -140,9 +141,9 @@ def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFra
     groups = (
         since(tables.spine, "order_created", ago(as_of, days=windows[-1]))
         .filter(
-            F.col("destination_action").isin("Delivery", "Merge")
-            & F.col("sub_type").isin(*SUB_TYPES)
-            & ~F.col("delivery_method_id").isin("PickUpAtStore")
+            same_text(F.col("destination_action"), "Delivery", "Merge")
+            & same_text(F.col("sub_type"), *SUB_TYPES)
+            & ~same_text(F.col("delivery_method_id"), "PickUpAtStore")
             & (F.col("is_return") != 1)
             & (F.col("is_even_exchange") != 1)
         )
@@ -161,11 +162,11 @@ def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFra
             for d in windows
             for k, name in enumerate(SUB_TYPES)
             for agg in (
-                F.count_if((F.col("days") == d) & (F.col("sub_type") == name) & (F.col("cancelled") == 0)).alias(
+                F.count_if((F.col("days") == d) & same_text(F.col("sub_type"), name) & (F.col("cancelled") == 0)).alias(
                     f"clean_{d}_{k}"
                 ),
                 F.coalesce(
-                    F.sum(F.when((F.col("days") == d) & (F.col("sub_type") == name), F.col("lines_hit"))), F.lit(0)
+                    F.sum(F.when((F.col("days") == d) & same_text(F.col("sub_type"), name), F.col("lines_hit"))), F.lit(0)
                 ).alias(f"hit_{d}_{k}"),
             )
         ]
@@ -236,8 +237,8 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
     )
     released = (
         recent.filter(
-            (F.col("org_sub_type") == STORE)
-            & F.lower("destination_action").isin("delivery", "merge")
+            same_text(F.col("org_sub_type"), STORE)
+            & same_text(F.col("destination_action"), "Delivery", "Merge")
             & F.col("line_pk").isNotNull()
             & ((F.col("return_line_count") < 1) | F.col("return_line_count").isNull())
         )

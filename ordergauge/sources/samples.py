@@ -14,6 +14,32 @@ from .tables import Tables
 
 BASE_TABLES = ("customer", "supplier", "part", "orders", "lineitem", "events")
 
+ORGANISATIONS = ("ITS", "LEA", "LPS", "MP", "PRO", "PSW", "HTW")
+ORDER_STATUSES = {
+    "1000": "Open",
+    "1500": "Back Ordered",
+    "2000": "Allocated",
+    "3000": "Released",
+    "3500": "Packed",
+    "3600": "Picked",
+    "4500": "Shipped",
+    "7000": "Fulfilled",
+    "7500": "Delivered",
+    "8500": "Returned",
+    "9000": "Canceled",
+    "18000": "Closed",
+}
+FULFILMENT_STATUSES = {"1000.000": "New", "3000.000": "Ready for Pickup", "7000.000": "Handed Over", "9000.000": "Canceled"}
+
+
+def _statuses(descriptions: dict[str, str]) -> str:
+    rows = [f"('{s}', '{d}', '{org}')" for s, d in descriptions.items() for org in ORGANISATIONS]
+    return f"""
+        select *
+        from (values {", ".join(rows)}) as t(status, description, profile_id)
+    """
+
+
 VIEWS = {
     "inv_location": """
         select s_suppkey as location_id,
@@ -29,17 +55,8 @@ VIEWS = {
         select *
         from (values ('0','Awaiting Payment'),('1','Authorized'),('2','Paid')) as t(status_id, short_description)
     """,
-    "fw_status_definition": """
-        select s.status, s.description, p.profile_id
-        from (values
-            ('1000', 'Open', 1), ('1500', 'Back Ordered', 1), ('2000', 'Allocated', 1), ('3000', 'Released', 1),
-            ('3500', 'Packed', 1), ('3600', 'Picked', 1), ('4500', 'Shipped', 1), ('7000', 'Fulfilled', 1),
-            ('7500', 'Delivered', 1), ('8500', 'Returned', 1), ('9000', 'Canceled', 1), ('18000', 'Closed', 1),
-            ('3000.000', 'Ready for Pickup', 1), ('9000.000', 'Canceled', 1)
-          ) as s(status, description, every)
-          join (values ('ITS', 1), ('LEA', 1), ('LPS', 1), ('MP', 1), ('PRO', 1), ('PSW', 1), ('HTW', 1)
-          ) as p(profile_id, every) on s.every = p.every
-    """,
+    "fw_status_definition": _statuses(ORDER_STATUSES),
+    "ful_status_definition": _statuses(FULFILMENT_STATUSES),
     "ord_order": """
         select o_orderkey as pk,
           case when o_orderkey % 50 = 0 then 'CIT' when o_orderkey % 50 = 1 then 'SLE'
@@ -110,7 +127,6 @@ VIEWS = {
           min(l.l_shipdate) as created_timestamp
         from lineitem l
         join ord_order o on o.pk = l.l_orderkey
-        where l.l_orderkey % 17 <> 0
         group by l.l_orderkey, l.l_suppkey, o.order_id
     """,
     "ord_release_line": """
@@ -126,7 +142,6 @@ VIEWS = {
               else cast(0 as double) end as cancelled_quantity,
           l_shipdate as created_timestamp
         from lineitem
-        where l_orderkey % 17 <> 0
     """,
     "ord_order_line_cancel_history": """
         select pk as order_line_pk, quantity as cancel_quantity
@@ -169,7 +184,7 @@ VIEWS = {
           l_shipdate + interval '1' hour * (l_partkey % 72 - 36) as fulfillment_date,
           'T' || cast(l_orderkey as string) || '-' || cast(l_suppkey as string) as tracking_number
         from lineitem
-        where l_returnflag <> 'R' and l_orderkey % 17 <> 0
+        where l_returnflag <> 'R'
     """,
     "ord_order_tracking_info": """
         select l_orderkey as order_pk,
@@ -229,7 +244,6 @@ VIEWS = {
         from lineitem
         join ord_order o on o.pk = l_orderkey
         join part p on p.p_partkey = l_partkey
-        where l_orderkey % 17 <> 0
         group by l_orderkey, l_suppkey, l_linenumber, o.order_id
     """,
     "ful_fulfillment_line_shorts": """
@@ -240,7 +254,7 @@ VIEWS = {
         where fulfillment_line_status_id = '9000.000'
     """,
     "tickets": """
-        select 'OPS-' || cast(event_id as string) as ticket_key, 'Production Support' as project,
+        select 'OPS-' || cast(event_id as string) as ticket_key, 'Order Desk' as project,
           case user_id % 4 when 0 then 'critical' when 1 then 'major' else 'minor' end as priority,
           case event_id % 5 when 0 then 'critical' when 1 then 'payments' else 'orders' end as component,
           case event_id % 3 when 0 then 'To Do' when 1 then 'In Progress' else 'Done' end as status_category,

@@ -10,6 +10,7 @@ _COLUMNS = {
     "org_location": "location_id bigint, location_sub_type_id string",
     "ord_payment_status": "status_id string, short_description string",
     "fw_status_definition": "status string, description string, profile_id string",
+    "ful_status_definition": "status string, description string, profile_id string",
     "ord_order": """
         pk bigint, order_id string, org_id string, created_timestamp timestamp_ntz, updated_timestamp timestamp_ntz,
         captured_date timestamp_ntz, do_not_release_before timestamp_ntz, is_confirmed int, is_cancelled int,

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import AsOf, moment, partition_column, partition_columns, since
+from ..functions.times import partition_column, partition_columns
 from .schemas import SCHEMAS, conformed
 
 
@@ -21,15 +21,20 @@ def renamed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
     return df.select(*picked)
 
 
-RELEASE_TABLES = ("ord_release", "ord_release_line")
+# The joins that most metrics share, and the tables that each is made of.
+JOINS = {
+    "line_facts": {"ord_order", "ord_order_line"},
+    "release_facts": {"ord_release", "ord_release_line", "inv_location", "org_location"},
+}
+JOINS["spine"] = JOINS["line_facts"] | JOINS["release_facts"] | JOINS.keys()
 
 
 class Tables:
-    """Logical tables by name, loaded on first use. ``load`` raises KeyError for a name it does not know.
+    """Logical tables by name, loaded on first use. ``load`` raises KeyError(name) for a name it does not know.
 
     ``line_facts``, ``release_facts`` and ``spine`` are the joins that most metrics start from. They are plain lazy
-    plans unless the loader knows them as stored tables (see ``plans.shared``). They take the keys at their word: a
-    release line belongs to a line of its release's order, and ``order_id`` names one order.
+    plans unless the loader knows them as stored tables (see ``plans.shared``). In the spine a release line belongs to
+    a line of its release's order.
     """
 
     def __init__(self, load: Callable[[str], DataFrame]):
@@ -44,20 +49,18 @@ class Tables:
         return self._frames[name]
 
     def replaced(self, frames: Mapping[str, DataFrame]) -> Tables:
-        """The same tables, with ``frames`` in place of those of the same name."""
-        return Tables(lambda name: frames[name] if name in frames else self[name])
+        """The same tables, with ``frames`` in place of those of the same name.
 
-    def created_since(self, start: AsOf, names: Iterable[str] = RELEASE_TABLES) -> Tables:
-        """The same tables without the rows of ``names`` that were created before ``start`` (or at no known time).
-
-        For a caller who knows that nothing older can belong to the orders in question: a window on the order's
-        creation says nothing about its releases, so without this their whole history is read. With tables laid out by
-        date, only the partitions from ``start`` on are.
+        Stored joins that one of these tables is part of are made anew.
         """
-        wanted = frozenset(names)
+        stale = {name for name, parts in JOINS.items() if parts & frames.keys() and name not in frames}
 
         def load(name: str) -> DataFrame:
-            return since(self[name], "created_timestamp", moment(start)) if name in wanted else self[name]
+            if name in frames:
+                return frames[name]
+            if name in stale:
+                raise KeyError(name)
+            return self[name]
 
         return Tables(load)
 
@@ -66,7 +69,9 @@ class Tables:
         if name not in self._plans:
             try:
                 self._plans[name] = self[name]
-            except KeyError:
+            except KeyError as unknown:
+                if unknown.args != (name,):
+                    raise  # an error inside the loader
                 self._plans[name] = build()
         return self._plans[name]
 
@@ -153,7 +158,12 @@ class Tables:
                 "promised_delivery_date": "promised_delivery",
             },
         )
-        orders = renamed(
+        return lines.join(self.orders, "order_pk")
+
+    @property
+    def orders(self) -> DataFrame:
+        """One row per order, with the columns that the metrics read."""
+        return renamed(
             self["ord_order"],
             {
                 "pk": "order_pk",
@@ -169,7 +179,6 @@ class Tables:
                 "selling_channel_id": "selling_channel_id",
             },
         )
-        return lines.join(orders, "order_pk")
 
     @property
     def spine(self) -> DataFrame:

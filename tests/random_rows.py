@@ -50,8 +50,15 @@ def random_rows(seed: int, orders: int = 150) -> dict[str, list[dict]]:
     t["inv_location"] = [{"location_id": i, "location_sub_type_id": KINDS[i % 4]} for i in range(12)]
     t["org_location"] = [{"location_id": i, "location_sub_type_id": KINDS[i % 4]} for i in range(11)]
     t["ord_payment_status"] = [{"status_id": str(i), "short_description": f"state {i}"} for i in range(3)]
+    any_case = lambda text: r.choice([text, text, text.upper(), text.lower()])
     t["fw_status_definition"] = [
-        {"status": s, "description": d, "profile_id": org} for s, d in DESCRIPTIONS.items() for org in ORGS
+        {"status": s, "description": any_case(d), "profile_id": org} for s, d in DESCRIPTIONS.items() for org in ORGS
+    ]
+    # a code of both tables means something else in each
+    t["ful_status_definition"] = [
+        {"status": s, "description": f"of fulfilment {s}", "profile_id": org}
+        for s in ("3000.000", "9000.000", "7000.000")
+        for org in ORGS
     ]
     for name in (
         "ord_order ord_order_line ord_release ord_release_line ord_order_line_cancel_history ord_order_milestone "
@@ -117,7 +124,7 @@ def random_rows(seed: int, orders: int = 150) -> dict[str, list[dict]]:
                     "is_cancelled": maybe(r.choice([0, 0, 1])),
                     "max_fulfillment_status_id": r.choice([*STATUSES, "9000", "9000"]),
                     "min_fulfillment_status_id": r.choice(STATUSES),
-                    "delivery_method_id": maybe(r.choice(["ShipToAddress", "PickUpAtStore", "ShipToStore"])),
+                    "delivery_method_id": maybe(any_case(r.choice(["ShipToAddress", "PickUpAtStore", "ShipToStore"]))),
                     "is_return": maybe(r.choice([0, 0, 0, 1])),
                     "is_even_exchange": maybe(r.choice([0, 0, 0, 1])),
                     "line_type_id": maybe(r.choice(["Standard", "Gift"])),
@@ -138,6 +145,10 @@ def random_rows(seed: int, orders: int = 150) -> dict[str, list[dict]]:
                 }
                 t["ord_quantity_detail"] += copies(row) if r.random() < 0.8 else []
 
+        if r.random() < 0.08:
+            # order lines are gone, their releases are not
+            gone = {x["pk"] for x in t["ord_order_line"] if x["order_pk"] == pk}
+            t["ord_order_line"] = [x for x in t["ord_order_line"] if x["pk"] not in gone]
         for n in range(r.choice([0, 1, 2, 3, 5])):
             release_pk, release_id = pk * 100 + n, f"R{n}"
             location = r.randint(0, 13)
@@ -149,7 +160,7 @@ def random_rows(seed: int, orders: int = 150) -> dict[str, list[dict]]:
                     "order_id": order_id,
                     "release_id": release_id,
                     "ship_from_location_id": location,
-                    "destination_action": maybe(r.choice(["Delivery", "Merge", "Pickup"])),
+                    "destination_action": maybe(any_case(r.choice(["Delivery", "Merge", "Pickup"]))),
                     "delivery_method_id": maybe(r.choice(["ShipToAddress", "PickUpAtStore"])),
                     "created_timestamp": release_created,
                 }
@@ -163,8 +174,8 @@ def random_rows(seed: int, orders: int = 150) -> dict[str, list[dict]]:
                     "ship_to_location_id": location,
                     "customer_first_name": maybe("Ann"),
                     "customer_last_name": maybe("Lee"),
-                    "delivery_method_id": maybe(r.choice(["ShipToAddress", "PickUpAtStore", "PickUpAtStore"])),
-                    "order_type_id": maybe(r.choice(["Marketplace", "Retail", "Retail"])),
+                    "delivery_method_id": maybe(any_case(r.choice(["ShipToAddress", "PickUpAtStore", "PickUpAtStore"]))),
+                    "order_type_id": maybe(any_case(r.choice(["Marketplace", "Retail", "Retail"]))),
                     "cancel_reason_id": maybe("Customer", 0.7),
                     "created_timestamp": created,
                     "pickup_expiry_date": maybe(moment()),
@@ -186,6 +197,9 @@ def random_rows(seed: int, orders: int = 150) -> dict[str, list[dict]]:
                     "created_timestamp": maybe(moment()),
                 }
                 t["ord_release_line"] += copies(row)
+                if r.random() < 0.1:
+                    # a line that the order does not have, of an order that may have none left
+                    t["ord_release_line"].append(row | {"order_line_id": "77"})
                 detail = {
                     "order_line_pk": pk * 10 + int(line_id),
                     "release_id": release_id,

@@ -80,7 +80,7 @@ def test_files(spark, tmp_path):
 
 def test_stored_joins_give_the_same_values(spark):
     rows = random_rows(11, 60)
-    settings = metrics.ReportSettings("2001-08-02 00:00:00", "2000-10-01", "blind@example.com", "Production Support")
+    settings = metrics.ReportSettings("2001-08-02 00:00:00", "2000-10-01", "blind@example.com", "Order Desk")
     tables = spark_tables(spark, rows)
     for name in rows:
         tables[name].cache()
@@ -95,7 +95,7 @@ def issue(key, priority="Critical", component=("critical",), status="To Do", cre
         "key": key,
         "fields": {
             "created": created,
-            "project": {"name": "Production Support"},
+            "project": {"name": "Order Desk"},
             "priority": {"name": priority},
             "components": [{"name": name} for name in component],
             "status": {"statusCategory": {"name": status}},
@@ -119,7 +119,7 @@ def test_ticket_pages(spark, tmp_path, pages, opened, created):
     for number, issues in enumerate(content[:pages]):
         (tmp_path / f"page-{number}.json").write_text(json.dumps({"total": 7, "issues": issues}, indent=1))
     tables = Tables(lambda name: read_ticket_pages(spark, str(tmp_path)))
-    project = "Production Support"
+    project = "Order Desk"
     assert tickets.open_critical_tickets(tables, project).first().tickets == opened
     assert tickets.critical_tickets_created(tables, "2024-01-31 00:00:00", project).first().tickets == created
 
