@@ -88,19 +88,28 @@ def _trimmed(pairs: str, by: str, n: str, kept: str) -> str:
     group by {by}"""
 
 
-def bopis_processing_time(days: list[int]) -> str:
+def _processing_pairs(days: list[int], what: str) -> str:
     details = """(select d.order_line_pk, d.created_timestamp, s.description from ord_quantity_detail d
         join fw_status_definition s on s.status = d.status_id and s.profile_id = d.org_id)"""
-    pairs = f"""
-    select w.days, epoch(b.created_timestamp) - epoch(o.captured_date) as v
+    return f"""
+    select w.days, {what}
     from {_windows(days)}, {details} a
     join {details} b on b.order_line_pk = a.order_line_pk and lower(b.description) = 'released'
     join ord_order_line l on l.pk = a.order_line_pk and lower(l.delivery_method_id) = 'pickupatstore'
     join ord_order o on o.pk = l.order_pk
     where lower(a.description) = 'open' and a.created_timestamp >= {_start()} and o.created_timestamp >= {_start()}"""
+
+
+def bopis_processing_time(days: list[int]) -> str:
+    pairs = _processing_pairs(days, "epoch(b.created_timestamp) - epoch(o.captured_date) as v")
     return _trimmed(pairs, "days", "lines", "kept_lines")
 
 
+def bopis_processing_lines(days: list[int]) -> str:
+    minutes = "(epoch(b.created_timestamp) - epoch(o.captured_date)) / 60.0::double as minutes"
+    return _processing_pairs(days, f"{minutes}, cast(l.pk as varchar) as line")
+
+
 def cancel_rate(days: list[int], digits: int = 2) -> str:
     base = "ord_order_line l join ord_order o on o.pk = l.order_pk"
     good = "o.is_confirmed = 1 and o.max_return_status_id is null"
@@ -199,21 +208,28 @@ def stuck_in_allocated(hours: int) -> str:
       and order_id not like 'CIT%' and aging_seconds >= 3600"""
 
 
-def time_to_release(hours: int, cumulative: bool = False) -> str:
-    orgs = ["ITS", "LEA", "LPS", "MP", "PRO", "PSW"]
-    target = f"unnest(list_slice({orgs}, list_position({orgs}, a.org_id), 6))" if cumulative else "a.org_id"
-
+def _release_pairs(hours: int, what: str) -> str:
     def side(kind: str, column: str) -> str:
         return f"""(select o.order_id, o.org_id, m.{column} as at from ord_order o
             join ord_order_milestone m on m.order_pk = o.pk
             where m.milestone_definition_id = 'Order::Milestone::{kind}'
               and o.created_timestamp > {NOW} - interval {hours} hour)"""
 
-    pairs = f"""
-    select {target} as org_id, epoch(b.at) - epoch(a.at) as v
+    return f"""
+    select {what}
     from {side("Allocated", "created_timestamp")} a
-    join {side("Released", "updated_timestamp")} b on a.order_id = b.order_id
-    where list_contains({orgs}, a.org_id)"""
+    join {side("Released", "updated_timestamp")} b on a.order_id = b.order_id"""
+
+
+def time_to_release_orders(hours: int) -> str:
+    return _release_pairs(hours, "a.org_id, (epoch(b.at) - epoch(a.at))::bigint as seconds")
+
+
+def time_to_release(hours: int, cumulative: bool = False) -> str:
+    orgs = ["ITS", "LEA", "LPS", "MP", "PRO", "PSW"]
+    target = f"unnest(list_slice({orgs}, list_position({orgs}, a.org_id), 6))" if cumulative else "a.org_id"
+    pairs = _release_pairs(hours, f"{target} as org_id, epoch(b.at) - epoch(a.at) as v")
+    pairs += f"\n    where list_contains({orgs}, a.org_id)"
     return _trimmed(pairs, "org_id", "orders", "kept_orders")
 
 
@@ -720,6 +736,7 @@ def bodies() -> dict[str, str]:
         "blind_returns": blind_returns(DAYS),
         "bopis_cancel_rate": bopis_cancel_rate(365),
         "bopis_lines": bopis_lines(365),
+        "bopis_processing_lines": bopis_processing_lines(DAYS),
         "bopis_processing_time": bopis_processing_time(DAYS),
         "bopis_shorts": bopis_shorts(365),
         "bounced_orders": bounced_orders(1),
@@ -753,6 +770,7 @@ def bodies() -> dict[str, str]:
         "store_bounce_rate": store_bounce_rate(365),
         "stuck_in_allocated": stuck_in_allocated(HOURS),
         "time_to_release": time_to_release(HOURS),
+        "time_to_release_orders": time_to_release_orders(HOURS),
         "time_to_release_cumulative": time_to_release(HOURS, cumulative=True),
         "unique_fill_rate": unique_fill_rate(DAYS),
         "vendor_bounce_rate": vendor_bounce_rate(365),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.rates import floor2, floor_percent, ratio
 from ..functions.texts import same_text
 from ..functions.times import AsOf, Days, ago, day_of, since, ts, until, windows_of
-from ..functions.windows import per_window, window_list
+from ..functions.windows import per_window
 from ..sources.tables import Tables
 
 # Location sub-types in report order.
@@ -137,7 +137,10 @@ def fill_rate_gap(tables: Tables, as_of: AsOf, days: Days = 1, sub_types: tuple[
 def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
     """Share of address lines that were filled without any cancelled release line; always one row per sub-type."""
     windows = windows_of(days)
-    in_windows = window_list(windows, lambda d: F.col("order_created") >= ts(ago(as_of, days=d)))
+
+    def recent(d: int) -> Column:
+        return F.col("order_created") >= ts(ago(as_of, days=d))
+
     groups = (
         since(tables.spine, "order_created", ago(as_of, days=windows[-1]))
         .filter(
@@ -152,9 +155,17 @@ def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFra
             F.sum("cancelled_quantity").alias("cancelled"),
             F.max(F.col("cancelled_quantity") > 0).alias("hit"),
         )
-        .select("*", F.explode(in_windows).alias("days"))
-        .groupBy("days", "sub_type", "order_id", "order_line_id", "item_id")
-        .agg(F.sum("cancelled").alias("cancelled"), F.count_if("hit").alias("lines_hit"))
+        .groupBy("sub_type", "order_id", "order_line_id", "item_id")
+        .agg(
+            *[
+                agg
+                for d in windows
+                for agg in (
+                    F.sum(F.when(recent(d), F.col("cancelled"))).alias(f"cancelled_{d}"),
+                    F.count_if(recent(d) & F.col("hit")).alias(f"hit_{d}"),
+                )
+            ]
+        )
     )
     counts = groups.groupBy().agg(
         *[
@@ -162,12 +173,10 @@ def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFra
             for d in windows
             for k, name in enumerate(SUB_TYPES)
             for agg in (
-                F.count_if((F.col("days") == d) & same_text(F.col("sub_type"), name) & (F.col("cancelled") == 0)).alias(
-                    f"clean_{d}_{k}"
+                F.count_if(same_text(F.col("sub_type"), name) & (F.col(f"cancelled_{d}") == 0)).alias(f"clean_{d}_{k}"),
+                F.coalesce(F.sum(F.when(same_text(F.col("sub_type"), name), F.col(f"hit_{d}"))), F.lit(0)).alias(
+                    f"hit_{d}_{k}"
                 ),
-                F.coalesce(
-                    F.sum(F.when((F.col("days") == d) & same_text(F.col("sub_type"), name), F.col("lines_hit"))), F.lit(0)
-                ).alias(f"hit_{d}_{k}"),
             )
         ]
     )
