@@ -13,6 +13,7 @@ from . import (
     license_scan,
     line_dedup,
     mixing,
+    oracle,
     secret_scan,
     sentencepiece_codec,
     sharding,
@@ -133,4 +134,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of the queries that SQL expresses; tests hold the others against brute force."""
+    return oracle.texts()
