@@ -56,10 +56,15 @@ def simhash(text: Column) -> Column:
     """The fingerprint of a text as a long; 0 for null and for texts without words. Equal texts have equal ones."""
 
     def votes(terms: Column) -> Column:
+        # by index, for a slice of an array costs as much as the whole array
+        last = F.size(terms) - 1
         slices = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(terms) / SLICE).cast("int")),
-            lambda s: _lanes(F.slice(terms, s * SLICE + 1, F.lit(SLICE))),
+            F.sequence(F.lit(0), last, F.lit(SLICE)),
+            lambda at: let(
+                F.transform(F.sequence(at, F.least(at + (SLICE - 1), last)), lambda i: F.get(terms, i)), _lanes
+            ),
         )
+        slices = F.when(last >= 0, slices).otherwise(F.array().cast("array<array<bigint>>"))
         n = F.size(terms)
 
         def bits(counts: Column) -> Column:
