@@ -4,16 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, datetime, time
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.times import AsOf
+from ..functions.times import AsOf, ago
 from ..operators import aging, bounces, cancels, fill, payments, pickup, promises, release, returns, tickets
 from ..sources.tables import Tables
-from .shared import with_stored_facts
 
 
 @dataclass(frozen=True)
@@ -222,12 +221,17 @@ FAMILIES: tuple[Callable[[Tables, ReportSettings], DataFrame], ...] = (
 )
 
 
-def metric_values(
-    spark: SparkSession, tables: Tables, settings: ReportSettings, store: bool = True, grain: str | None = None
-) -> DataFrame:
-    """Every metric value of the report. Each family answers all its windows from one plan; all run as one job.
+def history_start(settings: ReportSettings) -> datetime:
+    """The earliest time that a window of the report on orders or lines begins."""
+    start = settings.fiscal_start
+    fiscal = date.fromisoformat(start) if isinstance(start, str) else start
+    days = max(*cancels.MAX_RATE_DAYS, aging.HORIZON_DAYS)
+    return min(ago(settings.as_of, days=days), datetime.combine(fiscal, time()))
 
-    ``store`` first writes the shared joins to the session's checkpoint folder, partitioned by ``grain`` if given.
+
+def metric_values(tables: Tables, settings: ReportSettings) -> DataFrame:
+    """Every metric value of the report, as one lazy plan. Each family answers all its windows from one plan.
+
+    Most families read the same joins. ``plans.shared.stored_facts`` stores these first, as a step of its own.
     """
-    source = with_stored_facts(spark, tables, grain=grain) if store else tables
-    return reduce(DataFrame.unionByName, [family(source, settings) for family in FAMILIES])
+    return reduce(DataFrame.unionByName, [family(tables, settings) for family in FAMILIES])

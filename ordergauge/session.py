@@ -40,7 +40,7 @@ def size_shuffles(spark: SparkSession, shuffled_bytes: int, task_bytes: int = 25
 
 
 def local_session(cpus: str = "8", name: str = "ordergauge") -> SparkSession:
-    """A session for tests and the benchmark."""
+    """A session on this machine alone, for tests and the benchmark; its shared folder is a temporary one."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(name)
@@ -55,15 +55,13 @@ def local_session(cpus: str = "8", name: str = "ordergauge") -> SparkSession:
     return configure(spark)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new sub-folder of ``spark.checkpoint.dir``, which every executor can read.
-
-    Only a local session without that setting gets a folder of its own.
-    """
+def shared_folder(spark: SparkSession) -> str | None:
+    """A new sub-folder of ``spark.checkpoint.dir``, which every executor can read; None without that setting."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/ordergauge-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/ordergauge-{uuid.uuid4().hex}" if root else None
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``shared_folder`` named, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -3,6 +3,7 @@
 import csv
 import glob
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ordergauge.operators import tickets
 from ordergauge.plans import metrics, scorecard
+from ordergauge.plans.shared import stored_facts
 from ordergauge.sources.sinks import HEADINGS, write_scorecard
 from ordergauge.sources.tables import Tables
 from ordergauge.sources.tickets import read_ticket_pages
@@ -84,9 +86,13 @@ def test_stored_joins_give_the_same_values(spark):
     tables = spark_tables(spark, rows)
     for name in rows:
         tables[name].cache()
-    stored = spark_result(metrics.metric_values(spark, tables, settings))
-    assert stored == spark_result(metrics.metric_values(spark, tables, settings, store=False))
-    ids = [row[1] for row in stored[1]]
+    plain = spark_result(metrics.metric_values(tables, settings))
+    with stored_facts(spark, tables, metrics.history_start(settings), grain="month") as stored:
+        assert 0 < stored.spine.count() < tables.spine.count()
+        files = stored.spine.inputFiles()
+        assert spark_result(metrics.metric_values(stored, settings)) == plain
+    assert not any(os.path.exists(file.removeprefix("file://")) for file in files)
+    ids = [row[1] for row in plain[1]]
     assert len(ids) == len(set(ids))
 
 
@@ -127,7 +133,7 @@ def test_ticket_pages(spark, tmp_path, pages, opened, created):
 def test_goals_name_metrics_that_exist(spark):
     rows = random_rows(12, 80)
     tables = spark_tables(spark, rows)
-    known = {r.metric_id for r in metrics.metric_values(spark, tables, entry.SETTINGS).collect()}
+    known = {r.metric_id for r in metrics.metric_values(tables, entry.SETTINGS).collect()}
     wanted = {goal[-1] for goal in scorecard.GOALS}
     assert len(wanted) == 68
     # a group without any row has no value; every kind of metric must be there
