@@ -153,17 +153,12 @@ def _blind_returns(t: Tables, s: ReportSettings) -> DataFrame:
     )
 
 
-def _open_orders(t: Tables, s: ReportSettings) -> DataFrame:
-    rows = aging.open_order_rates(t, s.as_of)
+def _open_and_waiting(t: Tables, s: ReportSettings) -> DataFrame:
+    rows = aging.open_and_waiting_rates(t, s.as_of)
     place = F.coalesce(F.concat(F.lit(":"), F.col("location_sub_type_id")), F.lit(""))
     return _values(rows, [(F.concat(F.col("measure"), place), F.col("value"), None)])
 
 
-def _waiting_orders(t: Tables, s: ReportSettings) -> DataFrame:
-    rows = aging.backorder_rates(t, s.as_of)
-    return _values(rows, {name: name for name in rows.columns})
-
-
 def _to_shelf(t: Tables, s: ReportSettings) -> DataFrame:
     return _count(aging.return_to_shelf(t, s.as_of), "return_to_shelf_3d")
 
@@ -209,8 +204,7 @@ FAMILIES: tuple[Callable[[Tables, ReportSettings], DataFrame], ...] = (
     _payments,
     _return_rates,
     _blind_returns,
-    _open_orders,
-    _waiting_orders,
+    _open_and_waiting,
     _to_shelf,
     _stale_picks,
     _store_bounces,

@@ -1,5 +1,6 @@
 """Plans and storage: what is read, how it is joined, and what a hot key does."""
 
+import os
 import re
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from ordergauge.functions.times import since
 from ordergauge.operators import aging, fill
+from ordergauge.plans import metrics
 from ordergauge.plans.shared import with_stored_facts
 from ordergauge.session import shared_folder, size_shuffles
 from ordergauge.sources.layout import write_tables
@@ -93,6 +95,15 @@ def test_a_stored_spine_is_scanned_once_without_joins(spark, stored):
     )
 
 
+def test_a_report_reads_the_stored_spine_a_few_times(spark, stored):
+    tables = with_stored_facts(spark, stored)
+    folder = os.path.dirname(tables.spine.inputFiles()[0])
+    plan = plan_of(metrics.metric_values(tables, entry.SETTINGS))
+    spine = {column for column in tables.spine.columns if column not in tables.line_facts.columns}
+    scans = [c for c in re.findall(r"FileScan parquet \[(.*?)\]", plan) if spine & set(re.findall(r"(\w+)#", c))]
+    assert os.path.basename(folder) == "spine" and 0 < sum("sub_type" in c for c in scans) <= 11
+
+
 HOT_QUERIES = [
     "bopis_processing_time",
     "bounced_orders",
