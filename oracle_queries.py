@@ -698,9 +698,10 @@ def _text(x: str) -> str:
 
 def sla_grade() -> str:
     return f"""
-    select g.metric, f.fill_rate_pct, g.op, g.sla, g.target, {_grade("f.fill_rate_pct", "g.op", "g.sla", "g.target")}
+    select g.metric_id, f.fill_rate_pct, g.op, g.sla, g.target, {_grade("f.fill_rate_pct", "g.op", "g.sla", "g.target")}
       as grade
-    from {_goal_rows()} join ({fill_rate([365])}) f on g.metric_id = 'fill_rate_7d:' || f.location_sub_type_id"""
+    from {_goal_rows()} cross join (select max(fill_rate_pct) as fill_rate_pct
+      from ({fill_rate([365])}) where location_sub_type_id = 'StoreRegular') f"""
 
 
 def status_fill() -> str:

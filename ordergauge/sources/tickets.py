@@ -16,7 +16,8 @@ PAGE_SCHEMA = (
 def read_ticket_pages(spark: SparkSession, path: str) -> DataFrame:
     """All tickets of the JSON pages under ``path``: one row per ticket and component.
 
-    A ticket that moved between pages during the export is taken once. Names are compared in lower case by the ticket
+    A ticket that moved between pages during the export is taken once; if it changed meanwhile, the pages do not tell which
+    state is the later one, and the least by project, priority, status and creation is taken. Names are compared in lower case by the ticket
     service; priority and component come in lower case here.
     """
     issues = spark.read.schema(PAGE_SCHEMA).json(path, multiLine=True).select(F.inline("issues"))
@@ -33,5 +34,7 @@ def read_ticket_pages(spark: SparkSession, path: str) -> DataFrame:
             F.to_timestamp("fields.created").cast("timestamp_ntz").alias("created"),
         )
         .withColumn("component", F.lower("component.name"))
-        .dropDuplicates(["ticket_key", "component"])
+        .groupBy("ticket_key", "component")
+        .agg(F.min(F.struct("project", "priority", "status_category", "created")).alias("state"))
+        .select("ticket_key", "component", "state.*")
     )
