@@ -57,6 +57,15 @@ def partition_columns(df: DataFrame, column: str) -> dict[str, str]:
     return {grain: partition_column(column, grain) for grain in GRAINS if partition_column(column, grain) in df.columns}
 
 
+def join_keys(left: DataFrame, right: DataFrame, *keys: str) -> list[str]:
+    """``keys``, and the partition columns of the order's creation if both sides have them.
+
+    They agree wherever the order does, so they change no result; with them a window on one side prunes the other.
+    """
+    shared = partition_columns(left, "order_created").keys() & partition_columns(right, "order_created").keys()
+    return [*keys, *(partition_column("order_created", grain) for grain in sorted(shared))]
+
+
 def since(df: DataFrame, column: str, start: datetime, inclusive: bool = True) -> DataFrame:
     """Rows with ``column`` at or after ``start`` (strictly after it if not ``inclusive``), without an upper end.
 

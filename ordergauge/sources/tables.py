@@ -7,18 +7,23 @@ from collections.abc import Callable, Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.times import partition_column, partition_columns
+from ..functions.times import join_keys, partition_column, partition_columns
 from .schemas import SCHEMAS, conformed
 
 
 def renamed(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
-    """Select ``columns`` (source name: new name), and the partition columns of the timestamps among them."""
-    picked = []
+    """Select ``columns`` (source name: new name), and the partition columns of the timestamps among them.
+
+    A partition column of the order's creation stays as well.
+    """
+    picked = {}
     for source, target in columns.items():
-        picked.append(F.col(source).alias(target))
+        picked[target] = F.col(source).alias(target)
         for grain, name in partition_columns(df, source).items():
-            picked.append(F.col(name).alias(partition_column(target, grain)))
-    return df.select(*picked)
+            picked[partition_column(target, grain)] = F.col(name).alias(partition_column(target, grain))
+    for name in partition_columns(df, "order_created").values():
+        picked[name] = F.col(name)
+    return df.select(*picked.values())
 
 
 # The joins that most metrics share, and the tables that each is made of.
@@ -206,7 +211,7 @@ LINE_ONLY = (
 
 def join_spine(release_facts: DataFrame, line_facts: DataFrame) -> DataFrame:
     lines = line_facts.drop("order_id", *LINE_ONLY)
-    return release_facts.join(lines, ["order_pk", "order_line_id"], "left")
+    return release_facts.join(lines, join_keys(release_facts, lines, "order_pk", "order_line_id"), "left")
 
 
 def parquet_tables(spark: SparkSession, folder: str) -> Tables:

@@ -95,6 +95,40 @@ def test_a_stored_spine_is_scanned_once_without_joins(spark, stored):
     )
 
 
+@pytest.mark.parametrize(
+    "name, tables_cut",
+    [
+        ("first_pick_fill_rate", 2),  # orders and releases
+        ("open_orders_by_age", 2),
+        ("promise_shipped", 3),  # and fulfilment details
+        ("ship_from_store_success_rate", 2),
+        ("time_to_release", 4),  # orders and milestones, for either side
+        ("time_to_release_orders", 4),
+    ],
+)
+def test_windows_on_orders_skip_partitions_of_what_belongs_to_them(spark, stored, name, tables_cut):
+    build = entry.operators()[name]
+    plan = plan_of(build(spark, stored))
+    cut = [x for x in re.findall(r"PartitionFilters: \[[^\]]*\]", plan) if "_month" in x and ">=" in x]
+    assert len(cut) >= tables_cut
+    assert spark_result(build(spark, stored)) == spark_result(build(spark, sample_tables(spark, SF_DIR)))
+
+
+@pytest.mark.parametrize("grain", ["date", "month"])
+def test_layout_keeps_rows_without_time_or_order(spark, tmp_path, grain):
+    rows = random_rows(21, 40)
+    rows["ord_order"] = [r | {"created_timestamp": None} if r["pk"] % 9 == 0 else r for r in rows["ord_order"]]
+    rows["ord_order_milestone"].append({"order_pk": 10_000, "milestone_definition_id": "Order::Milestone::Released"})
+    plain = spark_tables(spark, rows)
+    write_tables(plain, SCHEMAS, str(tmp_path), grain=grain)
+    laid_out = parquet_tables(spark, str(tmp_path))
+    for name in ("ord_order", "ord_release", "ord_order_milestone", "ord_fulfillment_detail"):
+        assert laid_out[name].count() == plain[name].count()
+    for name in ("bounced_orders", "promise_shipped", "promise_delivered", "stale_pick_status", "time_to_release"):
+        build = entry.operators()[name]
+        assert spark_result(build(spark, laid_out)) == spark_result(build(spark, plain))
+
+
 def test_a_report_reads_the_stored_spine_a_few_times(spark, stored):
     tables = with_stored_facts(spark, stored)
     folder = os.path.dirname(tables.spine.inputFiles()[0])
