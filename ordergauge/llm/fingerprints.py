@@ -133,8 +133,8 @@ def within_radius(stored: DataFrame, queries: DataFrame, radius: int = 3, blocks
     )
 
 
-def with_next(docs: DataFrame, *carried: str, buckets: int | None = None) -> DataFrame:
-    """(doc_id, text, *carried) with ``next``, the struct (text, *carried) of the next row by descending doc_id.
+def with_next(docs: DataFrame, buckets: int | None = None, **made: Column) -> DataFrame:
+    """(doc_id, text) and the columns ``made``, with ``next``, their struct of the next row by descending doc_id.
 
     The first row follows the last. Rows of one id go by text, also descending; null ids come last. The rows are dealt
     to ranges of ids, and a copy of the first row of the next range closes each, so that no range is larger than a part
@@ -145,7 +145,7 @@ def with_next(docs: DataFrame, *carried: str, buckets: int | None = None) -> Dat
     bounds = docs.agg(F.percentile_approx("doc_id", cuts, 10 * buckets)).first()[0]
     known = F.array(*(F.lit(b) for b in sorted(set(bounds or [])))).cast("array<bigint>")
     bucket = F.size(F.filter(known, lambda b: b <= F.col("doc_id")))
-    row = F.struct("text", *carried)
+    row = F.struct("text", *(column.alias(name) for name, column in made.items()))
 
     # the first row of each range: its id from a scan of the ids, its text from a join with these few ids
     tops = docs.select(bucket.alias("bucket"), "doc_id").groupBy("bucket").agg(F.max("doc_id").alias("top"))
@@ -184,7 +184,7 @@ def edited_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     at; an empty table gives an empty one, and a single document is its own next.
     """
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), whole_text(F.col(text)).alias("text"))
-    rows = with_next(slim.withColumn("own", simhash(F.col("text"))), "own")
+    rows = with_next(slim, own=simhash(F.col("text")))
     rows = rows.withColumn("edited", edited(F.col("text"), F.col("next.text")))
     found = checkpointed(
         rows.select(
