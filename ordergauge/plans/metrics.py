@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from datetime import date, datetime, time
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -215,6 +214,14 @@ FAMILIES: tuple[Callable[[Tables, ReportSettings], DataFrame], ...] = (
 )
 
 
+def _union(frames: list[DataFrame]) -> DataFrame:
+    """All rows of the frames, joined in halves: each union is analysed anew, so a chain of them costs its square."""
+    if len(frames) == 1:
+        return frames[0]
+    half = len(frames) // 2
+    return _union(frames[:half]).unionByName(_union(frames[half:]))
+
+
 def history_start(settings: ReportSettings) -> datetime:
     """The earliest time that a window of the report on orders or lines begins."""
     start = settings.fiscal_start
@@ -228,4 +235,4 @@ def metric_values(tables: Tables, settings: ReportSettings) -> DataFrame:
 
     Most families read the same joins. ``plans.shared.stored_facts`` stores these first, as a step of its own.
     """
-    return reduce(DataFrame.unionByName, [family(tables, settings) for family in FAMILIES])
+    return _union([family(tables, settings) for family in FAMILIES])
