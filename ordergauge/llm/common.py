@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,17 +61,25 @@ def same_schema(frame: DataFrame, **added: str) -> str:
 
 def with_arrays(batch, **added):
     """An Arrow batch with the given columns added or replaced, in the order of ``same_schema``."""
-    import pyarrow as pa
-
     names = [n for n in batch.schema.names if n not in added]
     return pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *added.values()], [*names, *added])
 
 
-def small(batches, rows: int = 256):
-    """The Arrow batches in slices of a few rows, so that what a task makes of them stays small."""
+def small(batches, column: str, rows: int = 256, size: int = 1 << 21):
+    """The Arrow batches in slices of a few rows and, but for single long values, of few bytes in a column.
+
+    What a task makes of a slice, in Python objects, then stays small however long the texts are.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+        values = batch.column(column)
+        length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+        ends = pc.fill_null(length(values), 0).to_numpy(zero_copy_only=False).cumsum()
+        at = 0
+        while at < batch.num_rows:
+            done = int(ends[at - 1]) if at else 0
+            stop = max(at + 1, min(at + rows, int(ends.searchsorted(done + size, "right"))))
+            yield batch.slice(at, stop - at)
+            at = stop
 
 
 def with_package(spark: SparkSession) -> SparkSession:

@@ -82,7 +82,7 @@ def statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, text):
             values = batch.column(text).cast(pa.binary()).to_pylist()
             found = [statistics_of(x or b"") for x in values]
             columns = {c: pa.array([x[0][i] for x in found], pa.int64()) for i, c in enumerate(COUNTS)}

@@ -121,7 +121,7 @@ def _postings(docs: DataFrame, least: int, doc_id: str, text: str) -> DataFrame:
     """(key, doc_id), each key once for a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, "text"):
             keys, rows = [], []
             for row, value in enumerate(batch.column("text").cast(pa.binary()).to_pylist()):
                 if value:
@@ -295,7 +295,7 @@ def _without(docs: DataFrame, index: LineIndex, held: DataFrame, doc_id: str, te
     least = index.least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, text):
             texts, counts, dropped = [], [], []
             values = batch.column(text).cast(pa.binary()).to_pylist()
             for value, drop in zip(values, batch.column("__drop").to_pylist(), strict=True):

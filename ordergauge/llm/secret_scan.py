@@ -320,7 +320,7 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(automaton)
-        for batch in small(batches):
+        for batch in small(batches, text):
             found = []
             for value in batch.column(text).cast(pa.binary()).to_pylist():
                 spans = in_code_points(value, scanner.spans(value)) if value else []

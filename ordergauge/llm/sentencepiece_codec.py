@@ -238,7 +238,7 @@ def best_states(chunks: list[tuple[list[State], list[State], np.ndarray]]) -> li
 def _encode_short(docs: DataFrame, model, text: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in small(batches):
+        for batch in small(batches, text):
             values = [x or "" for x in batch.column(text).to_pylist()]
             found = codec.library.encode(values, num_threads=1) if values else []
             yield with_arrays(batch, ids=pa.array(found, pa.list_(pa.int32())))
@@ -270,7 +270,7 @@ def _encode_giant(docs: DataFrame, model, text: str, chunk: int) -> DataFrame:
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in small(batches):
+        for batch in small(batches, "part"):
             out = []
             for x in batch.to_pylist():
                 o = x["origin"]
@@ -310,7 +310,7 @@ def _encode_giant(docs: DataFrame, model, text: str, chunk: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
-        for batch in small(batches):
+        for batch in small(batches, "part"):
             found = []
             for x in batch.to_pylist():
                 o = x["origin"]
@@ -354,7 +354,7 @@ def decode(frame: DataFrame, model: str, ids: str = "ids", into: str = "decoded"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data.value)
-        for batch in small(batches):
+        for batch in small(batches, ids):
             yield with_arrays(batch, **{into: codec.decode_batch(batch.column(ids))})
 
     return frame.mapInArrow(run, same_schema(frame, **{into: "string"}))

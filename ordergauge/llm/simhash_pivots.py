@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, words: int = 3, text: str = "text", into: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, text):
             values = batch.column(text).cast(pa.binary()).to_pylist()
             found = [fingerprint_of(x, words) if x else 0 for x in values]
             yield with_arrays(batch, **{into: pa.array(found, pa.int64())})

@@ -46,7 +46,7 @@ def token_blocks(docs: DataFrame, separator: int, width: int = 2, block: int = 1
             columns = [pa.array(x, t) for x, t in zip(row, types, strict=True)]
             return pa.RecordBatch.from_arrays(columns, ["file", "block", "tokens", "ids"])
 
-        for batch in small(batches):
+        for batch in small(batches, "ids"):
             lists = batch.column("ids")
             parts = [held]
             end = at + len(held)
@@ -101,7 +101,7 @@ def separator_scan(blocks: DataFrame, separator: int, width: int = 2) -> DataFra
     kind = np.dtype(f"<u{width}")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small(batches):
+        for batch in small(batches, "tokens"):
             sizes, lasts, ends = [], [], []
             for tokens in batch.column("tokens"):
                 values = np.frombuffer(tokens.as_buffer(), kind) if tokens.is_valid else np.zeros(0, kind)
