@@ -265,8 +265,8 @@ def _encode_giant(docs: DataFrame, model, text: str, chunk: int) -> DataFrame:
                 )
 
     kinds = "row bigint, k bigint, low bigint, high bigint, origin bigint, part string"
-    chunks = docs.select("__row", text).mapInArrow(split, kinds)
-    chunks = checkpointed(chunks.repartition("row", "k"))
+    # read twice below, but cut from rows that are stored, so not stored once more
+    chunks = docs.select("__row", text).mapInArrow(split, kinds).repartition("row", "k")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(model.value)
