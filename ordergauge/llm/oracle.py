@@ -75,5 +75,90 @@ def shards(shards: int = 40, seed: int = 17) -> str:
       place - (shard * n + {shards - 1}) // {shards} as slot, null::int as grown_shard from dealt"""
 
 
+#: CTEs ``steps`` and ``crc`` (the table ``t`` of CRC-32) for ``_crc32``
+CRC_TABLE = """steps(n, c, k) as (
+      select range, range, 0 from range(256)
+      union all select n, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end, k + 1 from steps where k < 8),
+    crc as (select list(c order by n) as t from steps where k = 8)"""
+
+
+def _crc32(text: str) -> str:
+    """The unsigned CRC-32 of a text, beside ``crc``."""
+    return f"""xor(4294967295, list_reduce(list_prepend(4294967295::bigint,
+        list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda x: ('0x' || x)::bigint)),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])))"""
+
+
+def _tree(name: str, leaves: str, levels: int) -> str:
+    """CTEs of the trees over ``leaves`` (tree, place, node): {name}0 to {name}<levels>, each node with its siblings."""
+    runs = "partition by tree, place // 16 order by place"
+    parts, below = [], leaves
+    for k in range(levels + 1):
+        parts.append(f"""{name}{k} as (select *, count(*) over (partition by tree) = 1 as alone,
+            coalesce(string_agg(node, '') over ({runs} rows between unbounded preceding and 1 preceding), '') as left_of,
+            coalesce(string_agg(node, '') over ({runs} rows between 1 following and unbounded following), '') as right_of
+          from (select tree, place, node from {below}))""")
+        below = f"""(select tree, place // 16 as place, case when bool_and(alone) then any_value(node)
+            else sha256(string_agg(node, '' order by place)) end as node from {name}{k} group by tree, place // 16)"""
+    return ",\n    ".join(parts)
+
+
+def _climb(name: str, rows: str, levels: int) -> str:
+    """CTEs {name}_way0 to {name}_way<levels>: ``rows`` with ``siblings`` and ``fold`` carried up the tree."""
+    parts = [f"{name}_way0 as ({rows})"]
+    for k in range(levels):
+        parts.append(f"""{name}_way{k + 1} as (select w.* replace (
+            case when n.alone then siblings else siblings || left_of || right_of end as siblings,
+            case when n.alone then fold else sha256(left_of || fold || right_of) end as fold)
+          from {name}_way{k} w join {name}{k} n on n.tree = w.tree and n.place = w.place // {16**k})""")
+    return ",\n    ".join(parts)
+
+
+def manifest(levels: int = 5) -> str:
+    """For up to 16 to the ``levels`` documents in a source, and as many sources."""
+    field = lambda x: f"coalesce(strlen({x}::varchar) || ':' || {x}::varchar, '-')"
+    leaf = lambda text: f"sha256({' || '.join(map(field, ['doc_id', 'source', 'lang', 'n_chars', text]))})"
+    lowered = f"translate(text, '{UPPER}', '{LOWER}')"
+    own = "select *, '' as siblings, case when tampered then changed else node end as fold from leaves"
+    over = f"""select w.* exclude (tree, place), u.tree, u.place, u.node as subroot
+        from s_way{levels} w join subroots u on u.name = w.tree"""
+    return f"""
+    with recursive {CRC_TABLE},
+    docs as (select doc_id, coalesce('=' || source, '') as tree, {leaf("text")} as node, {leaf(lowered)} as changed,
+        coalesce({_crc32("doc_id::varchar")} % 5 = 0, false) as tampered from documents, crc),
+    leaves as (select *, row_number() over (partition by tree order by doc_id nulls first, node, changed) - 1 as place from docs),
+    {_tree("s", "leaves", levels)},
+    subroots as (select tree as name, '' as tree, row_number() over (order by tree) - 1 as place, node from s{levels}),
+    {_tree("r", "subroots", levels)},
+    {_climb("s", own, levels)},
+    {_climb("r", over, levels)}
+    select doc_id, w.node as leaf, subroot, r.node as root, sha256(siblings) as proof_sha256, fold as folded_root, fold = r.node as verified
+    from r_way{levels} w, r{levels} r"""
+
+
+def hard_negatives() -> str:
+    return """
+    with rows as (select row_number() over () as r, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * x::double)) as v
+      from embeddings where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scored as (select a.r as anchor, a.vec_id as anchor_id, b.r, b.vec_id, a.label = b.label as same,
+        list_inner_product(a.v, b.v)::bigint as score
+      from rows a join rows b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % 50 = 0),
+    positives as (select anchor, anchor_id, r as positive, vec_id as positive_id, score as positive_score from scored where same
+      qualify row_number() over (partition by anchor order by score desc, vec_id) <= 5),
+    pairs as (select p.*, s.vec_id as negative_id, s.score as negative_score,
+        row_number() over (partition by p.anchor, positive order by s.score desc, s.vec_id)::int as rank
+      from positives p join scored s on s.anchor = p.anchor and not s.same
+        and 50 * positive_score <= 100 * s.score and 100 * s.score <= 95 * positive_score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from pairs where rank <= 3"""
+
+
 def texts() -> dict[str, str]:
-    return {"op1_license_scan": licenses(), "op4_sharding": shards(), "op6_line_dedup": line_dedup()}
+    return {
+        "op1_license_scan": licenses(),
+        "op4_sharding": shards(),
+        "op6_line_dedup": line_dedup(),
+        "op11_hard_negatives": hard_negatives(),
+        "op12_merkle_manifest": manifest(),
+    }

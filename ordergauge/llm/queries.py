@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
     decision_list,
     fingerprints,
+    hard_negatives,
     license_scan,
     line_dedup,
+    merkle_manifest,
     mixing,
     oracle,
     secret_scan,
@@ -118,6 +120,19 @@ def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def relabelled() -> Column:
+    """The labels that hard negatives are mined with: some are changed first."""
+    return F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+
+
+def hard_negatives_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), relabelled=relabelled())
+
+
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses,
@@ -130,6 +145,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": document_fingerprints,
         "op9_token_counts": tokens,
         "op10_mixing": mixture,
+        "op11_hard_negatives": hard_negatives_of,
+        "op12_merkle_manifest": manifest,
     }
 
 

@@ -4,7 +4,7 @@ import duckdb
 import pyarrow as pa
 import pytest
 
-from ordergauge.llm import license_scan, line_dedup, oracle, queries, sharding
+from ordergauge.llm import license_scan, line_dedup, merkle_manifest, oracle, queries, sharding
 from tests.llm.support import SF_DIR, frame, plain, troubled
 from tests.llm.test_license_scan import licensed
 from tests.support import duck_result, spark_result
@@ -14,7 +14,8 @@ from tests.support import duck_result, spark_result
 @pytest.mark.parametrize("name", sorted(oracle.texts()))
 def test_stored_tables(spark, name, folder):
     connection = duckdb.connect()
-    connection.execute(f"create view documents as select * from '{folder}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        connection.execute(f"create view {table} as select * from '{folder}/{table}.parquet'")
     assert spark_result(queries.queries()[name](spark, folder)) == duck_result(connection, oracle.texts()[name])
 
 
@@ -29,6 +30,7 @@ def test_troubled_documents(spark):
     sql = lambda text: plain(connection.execute(text).fetchall())
     assert plain(license_scan.scan(docs).collect()) == sql(oracle.licenses())
     found = sharding.interleaved_shards(docs, 40).collect()
+    assert plain(merkle_manifest.proofs(docs).collect()) == sql(oracle.manifest())
     dealt = "select doc_id, source, size, text_crc32, shard, slot"
     assert plain(found) == sql(f"{dealt} from ({oracle.shards()})")
     kept = line_dedup.dedup_lines(docs).selectExpr("doc_id", "n_lines", "n_dropped", "sha2(kept_text, 256)")
