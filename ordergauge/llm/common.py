@@ -53,6 +53,12 @@ def new_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{uuid.uuid4().hex}"
 
 
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Delete a folder that ``new_folder`` named, once nothing reads it any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def same_schema(frame: DataFrame, **added: str) -> str:
     """The frame's columns and the added ones (name to type) as DDL, for functions that return Arrow batches."""
     columns = [f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema if f.name not in added]

@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators: whole tables, production parameters."""
+"""The registered queries of the operators: whole tables, production parameters."""
 
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from . import (
     hard_negatives,
     license_scan,
     line_dedup,
+    lm_scoring,
     merkle_manifest,
     mixing,
     oracle,
@@ -133,6 +134,11 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest.proofs(table(spark, sf_dir, "documents"))
 
 
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return lm_scoring.scores(table(spark, sf_dir, "documents"), held_out)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scan": licenses,
@@ -147,6 +153,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": mixture,
         "op11_hard_negatives": hard_negatives_of,
         "op12_merkle_manifest": manifest,
+        "op13_lm_scoring": language_model,
     }
 
 
