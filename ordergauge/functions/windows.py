@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .texts import aggregated
+
 
 def per_window(
     rows: DataFrame,
@@ -20,7 +22,7 @@ def per_window(
     aggregation and one shuffle. Without ``by`` there is exactly one row per window, as of a plain aggregate.
     """
     names = list(measures(days[0]))
-    wide = rows.groupBy(*by).agg(*[agg.alias(f"{name}_{d}") for d in days for name, agg in measures(d).items()])
+    wide = aggregated(rows, by, *[agg.alias(f"{name}_{d}") for d in days for name, agg in measures(d).items()])
     cells = [
         F.struct(F.lit(d).cast("bigint").alias("days"), *[F.col(f"{name}_{d}").alias(name) for name in names])
         for d in days

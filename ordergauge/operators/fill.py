@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.rates import floor2, floor_percent, ratio
-from ..functions.texts import same_text
+from ..functions.texts import aggregated, distinct_rows, plain_texts, same_text
 from ..functions.times import AsOf, Days, ago, day_of, since, ts, until, windows_of
 from ..functions.windows import per_window
 from ..sources.tables import Tables
@@ -33,6 +33,7 @@ def _newer(as_of: AsOf, days: int, column: str = "release_line_created") -> Colu
     return F.col(column) > ts(ago(as_of, days=days))
 
 
+@plain_texts
 def fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
     """Fulfilled share of the quantities of recent release lines, per location sub-type.
 
@@ -74,9 +75,9 @@ def _fill_sums(tables: Tables, as_of: AsOf, windows: list[int]) -> DataFrame:
     Lines that agree in order, line, item, quantities and location are one distinct line. Being recent only depends on
     the newest copy, so the grouping needs no copy per window.
     """
-    copies = (
-        _recent_release_lines(tables, as_of, windows)
-        .groupBy(
+    copies = aggregated(
+        _recent_release_lines(tables, as_of, windows),
+        [
             "order_id",
             "order_line_id",
             "release_item_id",
@@ -84,8 +85,9 @@ def _fill_sums(tables: Tables, as_of: AsOf, windows: list[int]) -> DataFrame:
             "cancelled_quantity",
             "ship_from_location_id",
             "location_sub_type_id",
-        )
-        .agg(*[F.count_if(_newer(as_of, d)).alias(f"copies_{d}") for d in windows])
+        ],
+        *[F.count_if(_newer(as_of, d)).alias(f"copies_{d}") for d in windows],
+        apart=["location_sub_type_id"],  # a location has one
     )
 
     def sums(d: int) -> dict[str, Column]:
@@ -100,6 +102,7 @@ def _fill_sums(tables: Tables, as_of: AsOf, windows: list[int]) -> DataFrame:
     return per_window(copies, ["location_sub_type_id"], windows, sums)
 
 
+@plain_texts
 def unique_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
     """As ``fill_rate``, with release lines that agree in every compared column counted once."""
     return (
@@ -117,6 +120,7 @@ def unique_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
     )
 
 
+@plain_texts
 def fill_rate_gap(tables: Tables, as_of: AsOf, days: Days = 1, sub_types: tuple[str, ...] = (STORE, VENDOR)) -> DataFrame:
     """Distance between ``fill_rate`` and ``unique_fill_rate`` in percentage points, both from one pass."""
     percent = floor_percent(_fill_share("all_fulfilled_quantity", "all_cancelled_quantity"))
@@ -134,6 +138,7 @@ def fill_rate_gap(tables: Tables, as_of: AsOf, days: Days = 1, sub_types: tuple[
     )
 
 
+@plain_texts
 def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
     """Share of address lines that were filled without any cancelled release line; always one row per sub-type."""
     windows = windows_of(days)
@@ -141,31 +146,32 @@ def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFra
     def recent(d: int) -> Column:
         return F.col("order_created") >= ts(ago(as_of, days=d))
 
-    groups = (
-        since(tables.spine, "order_created", ago(as_of, days=windows[-1]))
-        .filter(
-            same_text(F.col("destination_action"), "Delivery", "Merge")
-            & same_text(F.col("sub_type"), *SUB_TYPES)
-            & ~same_text(F.col("delivery_method_id"), "PickUpAtStore")
-            & (F.col("is_return") != 1)
-            & (F.col("is_even_exchange") != 1)
-        )
-        .groupBy("sub_type", "line_pk", "order_id", "order_line_id", "item_id", "order_created")
-        .agg(
-            F.sum("cancelled_quantity").alias("cancelled"),
-            F.max(F.col("cancelled_quantity") > 0).alias("hit"),
-        )
-        .groupBy("sub_type", "order_id", "order_line_id", "item_id")
-        .agg(
-            *[
-                agg
-                for d in windows
-                for agg in (
-                    F.sum(F.when(recent(d), F.col("cancelled"))).alias(f"cancelled_{d}"),
-                    F.count_if(recent(d) & F.col("hit")).alias(f"hit_{d}"),
-                )
-            ]
-        )
+    address_lines = since(tables.spine, "order_created", ago(as_of, days=windows[-1])).filter(
+        same_text(F.col("destination_action"), "Delivery", "Merge")
+        & same_text(F.col("sub_type"), *SUB_TYPES)
+        & ~same_text(F.col("delivery_method_id"), "PickUpAtStore")
+        & (F.col("is_return") != 1)
+        & (F.col("is_even_exchange") != 1)
+    )
+    kind = F.coalesce(*[F.when(same_text(F.col("sub_type"), name), name) for name in SUB_TYPES])
+    address_lines = address_lines.withColumn("sub_type", kind)
+    per_line = aggregated(
+        address_lines,
+        ["sub_type", "line_pk", "order_id", "order_line_id", "item_id", "order_created"],
+        F.sum("cancelled_quantity").alias("cancelled"),
+        F.max(F.col("cancelled_quantity") > 0).alias("hit"),
+    )
+    groups = aggregated(
+        per_line,
+        ["sub_type", "order_id", "order_line_id", "item_id"],
+        *[
+            agg
+            for d in windows
+            for agg in (
+                F.sum(F.when(recent(d), F.col("cancelled"))).alias(f"cancelled_{d}"),
+                F.count_if(recent(d) & F.col("hit")).alias(f"hit_{d}"),
+            )
+        ],
     )
     counts = groups.groupBy().agg(
         *[
@@ -173,10 +179,8 @@ def first_pick_fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFra
             for d in windows
             for k, name in enumerate(SUB_TYPES)
             for agg in (
-                F.count_if(same_text(F.col("sub_type"), name) & (F.col(f"cancelled_{d}") == 0)).alias(f"clean_{d}_{k}"),
-                F.coalesce(F.sum(F.when(same_text(F.col("sub_type"), name), F.col(f"hit_{d}"))), F.lit(0)).alias(
-                    f"hit_{d}_{k}"
-                ),
+                F.count_if((F.col("sub_type") == name) & (F.col(f"cancelled_{d}") == 0)).alias(f"clean_{d}_{k}"),
+                F.coalesce(F.sum(F.when(F.col("sub_type") == name, F.col(f"hit_{d}"))), F.lit(0)).alias(f"hit_{d}_{k}"),
             )
         ]
     )
@@ -212,6 +216,7 @@ def success_periods(as_of: AsOf, fiscal_start: date | str) -> dict[str, tuple[da
     return {"fiscal_year": (start, end), "30_days": (today - timedelta(days=35), end)}
 
 
+@plain_texts
 def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[date, date]]) -> DataFrame:
     """Fulfilled share of the quantities that stores were asked to ship, per named period of order days (inclusive).
 
@@ -244,14 +249,15 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
         _day_start(last + timedelta(days=1)),
         inclusive=False,
     )
-    released = (
-        recent.filter(
-            same_text(F.col("org_sub_type"), STORE)
-            & same_text(F.col("destination_action"), "Delivery", "Merge")
-            & F.col("line_pk").isNotNull()
-            & ((F.col("return_line_count") < 1) | F.col("return_line_count").isNull())
-        )
-        .groupBy(
+    shipped = recent.filter(
+        same_text(F.col("org_sub_type"), STORE)
+        & same_text(F.col("destination_action"), "Delivery", "Merge")
+        & F.col("line_pk").isNotNull()
+        & ((F.col("return_line_count") < 1) | F.col("return_line_count").isNull())
+    ).withColumn("periods", inside)
+    released = aggregated(
+        shipped,
+        [
             "line_pk",
             "org_id",
             "order_id",
@@ -260,22 +266,23 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
             "return_line_count",
             "line_type_id",
             "line_quantity",
-            inside.alias("periods"),
-        )
-        .agg(
-            F.sum(F.coalesce("released_quantity", F.lit(0.0))).alias("released"),
-            F.sum("fulfilled_quantity").alias("fulfilled"),
-        )
+            "periods",
+        ],
+        F.sum(F.coalesce("released_quantity", F.lit(0.0))).alias("released"),
+        F.sum("fulfilled_quantity").alias("fulfilled"),
+        apart=["org_id", "line_type_id"],  # of the line
     )
     ordered_quantity = F.coalesce("line_quantity", F.lit(0.0)) + F.coalesce("cancel_quantity", F.lit(0.0))
     line = ["period", "org_id", "order_id", "item_id", "order_line_id", "return_line_count"]
     entries = F.coalesce("entries", F.lit(1))
-    lines = (
-        released.join(cancels, "line_pk", "left")
-        .select("*", F.explode("periods").alias("period"))
-        .groupBy(*line, "line_type_id", "line_quantity", "cancel_quantity")
-        .agg(F.sum(F.col("released") * entries).alias("released"), F.sum(F.col("fulfilled") * entries).alias("success"))
-        .select(
+    entered = aggregated(
+        released.join(cancels, "line_pk", "left").select("*", F.explode("periods").alias("period")),
+        [*line, "line_type_id", "line_quantity", "cancel_quantity"],
+        F.sum(F.col("released") * entries).alias("released"),
+        F.sum(F.col("fulfilled") * entries).alias("success"),
+    )
+    lines = distinct_rows(
+        entered.select(
             *line,
             F.coalesce("line_quantity", F.lit(0.0)).alias("remaining"),
             F.coalesce("cancel_quantity", F.lit(0.0)).alias("cancelled"),
@@ -283,7 +290,6 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
             F.least("released", ordered_quantity).alias("attempted"),
             "success",
         )
-        .distinct()
     )
     names = list(periods)
     sums = lines.groupBy().agg(

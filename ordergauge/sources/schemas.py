@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.texts import case_blind
+
 _COLUMNS = {
     "inv_location": "location_id bigint, location_sub_type_id string",
     "org_location": "location_id bigint, location_sub_type_id string",
@@ -58,6 +60,16 @@ _COLUMNS = {
         created timestamp_ntz""",
 }
 
+# Columns that hold words, not ids or codes: the source databases compare them without case.
+TEXTS = frozenset(
+    """
+    location_sub_type_id short_description description profile_id org_id created_by selling_channel_id
+    delivery_method_id line_type_id destination_action milestone_definition_id card_type payment_type
+    transaction_type payment_response_status order_type_id cancel_reason_id short_reason_id
+    customer_first_name customer_last_name project priority component status_category
+    """.split()
+)
+
 SCHEMAS: dict[str, str] = {name: " ".join(ddl.split()) for name, ddl in _COLUMNS.items()}
 
 
@@ -67,11 +79,15 @@ def columns_of(name: str) -> dict[str, str]:
 
 
 def conformed(name: str, df: DataFrame) -> DataFrame:
-    """``df`` with the column names of the logical table ``name``, and its kinds of flags and codes.
+    """``df`` with the column names of the logical table ``name``, its kinds of flags and codes, and texts without case.
 
     Databases give flags as booleans or numbers and status codes as text or numbers. Timestamps with or without zone and
     decimal or double numbers are all fine as they are, as are further columns.
     """
+    return case_blind(_columns_conformed(name, df), TEXTS & columns_of(name).keys())
+
+
+def _columns_conformed(name: str, df: DataFrame) -> DataFrame:
     actual = {field.name.lower(): field for field in df.schema.fields}
     missing = [column for column in columns_of(name) if column not in actual]
     if missing:

@@ -35,7 +35,7 @@ JOINS["spine"] = JOINS["line_facts"] | JOINS["release_facts"] | JOINS.keys()
 
 
 class Tables:
-    """Logical tables by name, loaded on first use. ``load`` raises KeyError(name) for a name it does not know.
+    """Logical tables by name, loaded and conformed on first use. ``load`` raises KeyError(name) for a name it does not know.
 
     ``line_facts``, ``release_facts`` and ``spine`` are the joins that most metrics start from. They are plain lazy
     plans unless the loader knows them as stored tables (see ``plans.shared``). In the spine a release line belongs to
@@ -50,7 +50,8 @@ class Tables:
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._frames:
-            self._frames[name] = self._load(name)
+            frame = self._load(name)
+            self._frames[name] = conformed(name, frame) if name in SCHEMAS else frame
         return self._frames[name]
 
     def replaced(self, frames: Mapping[str, DataFrame]) -> Tables:
@@ -220,14 +221,14 @@ def parquet_tables(spark: SparkSession, folder: str) -> Tables:
     def load(name: str) -> DataFrame:
         if name not in SCHEMAS:
             raise KeyError(name)
-        return conformed(name, spark.read.parquet(f"{folder}/{name}"))
+        return spark.read.parquet(f"{folder}/{name}")
 
     return Tables(load)
 
 
 def catalog_tables(spark: SparkSession, names: Mapping[str, str]) -> Tables:
     """Tables of the session catalog; ``names`` maps each logical name to a table or view."""
-    return Tables(lambda name: conformed(name, spark.table(names[name])))
+    return Tables(lambda name: spark.table(names[name]))
 
 
 def jdbc_options(
@@ -247,4 +248,4 @@ def jdbc_options(
 
 def jdbc_tables(spark: SparkSession, sources: Mapping[str, Mapping[str, str]]) -> Tables:
     """Tables of a live database; ``sources`` gives the reader options per logical name (see ``jdbc_options``)."""
-    return Tables(lambda name: conformed(name, spark.read.format("jdbc").options(**sources[name]).load()))
+    return Tables(lambda name: spark.read.format("jdbc").options(**sources[name]).load())
