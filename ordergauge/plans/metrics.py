@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime, time
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import AsOf, ago
@@ -26,37 +26,25 @@ class ReportSettings:
     ticket_as_of: AsOf | None = None
 
 
-def _id(*parts: Column | str) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
-
-
-def _values(frame: DataFrame, cells: Mapping[str, str] | list[tuple[Column, Column, Column | None]]) -> DataFrame:
-    """Turn each row of ``frame`` into one row per cell; a mapping gives fixed ids and their value columns."""
-    if isinstance(cells, Mapping):
-        cells = [(F.lit(name), F.col(column), None) for name, column in cells.items()]
-    return frame.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        name.alias("metric_id"),
-                        value.cast("double").alias("value"),
-                        (F.lit(None) if label is None else label).cast("string").alias("label"),
-                    )
-                    for name, value, label in cells
-                ]
-            )
-        )
-    )
+def _values(frame: DataFrame, *cells: tuple[str, str] | tuple[str, str, str]) -> DataFrame:
+    """Turn each row of ``frame`` into one row per cell: id, value and perhaps label, as SQL expressions.
+
+    They are texts, analysed in one go: a column object for each of them costs the driver more time than the plan.
+    """
+    rows = [
+        f"named_struct('metric_id', {name}, 'value', double({value}), 'label', string({label[0] if label else 'null'}))"
+        for name, value, *label in cells
+    ]
+    return frame.selectExpr(f"inline(array({', '.join(rows)}))")
 
 
 def _count(detail: DataFrame, metric_id: str) -> DataFrame:
-    return _values(detail.agg(F.count("*").alias("n")), {metric_id: "n"})
+    return _values(detail.agg(F.count("*").alias("n")), (f"'{metric_id}'", "n"))
 
 
 def _pickup(t: Tables, s: ReportSettings) -> DataFrame:
     rows = pickup.bopis_processing_time(t, s.as_of, [1, 7])
-    return _values(rows, [(_id("bopis_minutes_", F.col("days"), "d"), F.col("n97_minutes"), None)])
+    return _values(rows, ("concat('bopis_minutes_', days, 'd')", "n97_minutes"))
 
 
 def _cancel_rates(t: Tables, s: ReportSettings) -> DataFrame:
@@ -67,31 +55,31 @@ def _cancel_rates(t: Tables, s: ReportSettings) -> DataFrame:
         F.max(whole).alias("highest"),
     )
     return _values(
-        one_row, {"cancel_rate_1d": "rate_1", "cancel_rate_7d": "rate_7", "max_cancel_rate": "highest"}
+        one_row, ("'cancel_rate_1d'", "rate_1"), ("'cancel_rate_7d'", "rate_7"), ("'max_cancel_rate'", "highest")
     )
 
 
 def _cancel_share(t: Tables, s: ReportSettings) -> DataFrame:
     rows = cancels.fulfilment_cancel_share(t, s.as_of, [1, 365])
-    return _values(rows, [(_id("fulfilment_cancel_share_", F.col("days"), "d"), F.col("share_pct"), None)])
+    return _values(rows, ("concat('fulfilment_cancel_share_', days, 'd')", "share_pct"))
 
 
 def _pickup_cancels(t: Tables, s: ReportSettings) -> DataFrame:
-    return _values(cancels.bopis_cancel_rate(t, s.as_of), {"bopis_cancel_rate_7d": "bopis_cancel_rate"})
+    return _values(cancels.bopis_cancel_rate(t, s.as_of), ("'bopis_cancel_rate_7d'", "bopis_cancel_rate"))
 
 
 def _open_tickets(t: Tables, s: ReportSettings) -> DataFrame:
-    return _values(tickets.open_critical_tickets(t, s.ticket_project), {"open_critical_tickets": "tickets"})
+    return _values(tickets.open_critical_tickets(t, s.ticket_project), ("'open_critical_tickets'", "tickets"))
 
 
 def _new_tickets(t: Tables, s: ReportSettings) -> DataFrame:
     rows = tickets.critical_tickets_created(t, s.ticket_as_of or s.as_of, s.ticket_project)
-    return _values(rows, {"critical_tickets_created": "tickets"})
+    return _values(rows, ("'critical_tickets_created'", "tickets"))
 
 
 def _funnel(t: Tables, s: ReportSettings) -> DataFrame:
     rows = release.allocation_funnel(t, s.as_of)
-    return _values(rows, {"backordered_pct": "backordered_pct", "released_pct": "success_pct"})
+    return _values(rows, ("'backordered_pct'", "backordered_pct"), ("'released_pct'", "success_pct"))
 
 
 def _stuck(t: Tables, s: ReportSettings) -> DataFrame:
@@ -100,62 +88,54 @@ def _stuck(t: Tables, s: ReportSettings) -> DataFrame:
 
 def _time_to_release(t: Tables, s: ReportSettings) -> DataFrame:
     rows = release.time_to_release(t, s.as_of)
-    return _values(rows, [(_id("time_to_release:", F.col("org_id")), F.col("n97_minutes"), None)])
+    return _values(rows, ("concat('time_to_release:', org_id)", "n97_minutes"))
 
 
 def _store_success(t: Tables, s: ReportSettings) -> DataFrame:
     rows = fill.ship_from_store_success_rate(t, fill.success_periods(s.as_of, s.fiscal_start))
-    return _values(rows, [(_id("ship_from_store:", F.col("period")), F.col("success_rate_pct"), None)])
+    return _values(rows, ("concat('ship_from_store:', period)", "success_rate_pct"))
 
 
 def _promises(t: Tables, s: ReportSettings) -> DataFrame:
     rows = promises.promise_success_rate(t, s.as_of, [3, 7, 30])
-    return _values(rows, [(_id("promise_success_", F.col("days"), "d"), F.col("success_pct"), None)])
+    return _values(rows, ("concat('promise_success_', days, 'd')", "success_pct"))
 
 
 def _fill_rates(t: Tables, s: ReportSettings) -> DataFrame:
     sums = fill.fill_rate_gap(t, s.as_of, [1, 7], fill.SUB_TYPES)
-    where = _id(F.col("days"), "d:", F.col("location_sub_type_id"))
+    where = "days, 'd:', location_sub_type_id"
     return _values(
         sums,
-        [
-            (_id("fill_rate_", where), F.col("fill_rate_pct"), None),
-            (_id("unique_fill_rate_", where), F.col("unique_fill_rate_pct"), None),
-            (_id("fill_rate_gap_", where), F.col("gap"), None),
-        ],
+        (f"concat('fill_rate_', {where})", "fill_rate_pct"),
+        (f"concat('unique_fill_rate_', {where})", "unique_fill_rate_pct"),
+        (f"concat('fill_rate_gap_', {where})", "gap"),
     )
 
 
 def _first_picks(t: Tables, s: ReportSettings) -> DataFrame:
     rows = fill.first_pick_fill_rate(t, s.as_of, [1, 7])
-    where = _id("first_pick_", F.col("days"), "d:", F.col("location_sub_type_id"))
-    return _values(rows, [(where, F.col("first_pick_rate"), None)])
+    return _values(rows, ("concat('first_pick_', days, 'd:', location_sub_type_id)", "first_pick_rate"))
 
 
 def _payments(t: Tables, s: ReportSettings) -> DataFrame:
     rows = payments.payment_failure_rate_max(t, s.payment_as_of or s.as_of, [1, 7, 30])
-    return _values(
-        rows, [(_id("payment_failure_", F.col("days"), "d"), F.col("failure_rate"), F.col("card_type"))]
-    )
+    return _values(rows, ("concat('payment_failure_', days, 'd')", "failure_rate", "card_type"))
 
 
 def _return_rates(t: Tables, s: ReportSettings) -> DataFrame:
     rows = returns.return_rate(t, s.as_of, [60, 365])
-    return _values(rows, [(_id("return_rate_", F.col("days"), "d"), F.col("return_rate_pct"), None)])
+    return _values(rows, ("concat('return_rate_', days, 'd')", "return_rate_pct"))
 
 
 def _blind_returns(t: Tables, s: ReportSettings) -> DataFrame:
     rows = returns.blind_return_rate(t, s.as_of, [1, 7], s.return_account)
-    side = F.when(F.col("marketplace"), "marketplace").otherwise("other")
-    return _values(
-        rows, [(_id("blind_returns_", F.col("days"), "d:", side), F.col("blind_return_pct"), None)]
-    )
+    side = "if(marketplace, 'marketplace', 'other')"
+    return _values(rows, (f"concat('blind_returns_', days, 'd:', {side})", "blind_return_pct"))
 
 
 def _open_and_waiting(t: Tables, s: ReportSettings) -> DataFrame:
     rows = aging.open_and_waiting_rates(t, s.as_of)
-    place = F.coalesce(F.concat(F.lit(":"), F.col("location_sub_type_id")), F.lit(""))
-    return _values(rows, [(F.concat(F.col("measure"), place), F.col("value"), None)])
+    return _values(rows, ("concat(measure, coalesce(concat(':', location_sub_type_id), ''))", "value"))
 
 
 def _to_shelf(t: Tables, s: ReportSettings) -> DataFrame:
@@ -167,11 +147,11 @@ def _stale_picks(t: Tables, s: ReportSettings) -> DataFrame:
 
 
 def _store_bounces(t: Tables, s: ReportSettings) -> DataFrame:
-    return _values(bounces.store_bounce_rate(t, s.as_of), {"store_bounce_rate_1d": "bounce_rate"})
+    return _values(bounces.store_bounce_rate(t, s.as_of), ("'store_bounce_rate_1d'", "bounce_rate"))
 
 
 def _vendor_bounces(t: Tables, s: ReportSettings) -> DataFrame:
-    return _values(bounces.vendor_bounce_rate(t, s.as_of), {"vendor_bounce_rate_1d": "bounce_rate"})
+    return _values(bounces.vendor_bounce_rate(t, s.as_of), ("'vendor_bounce_rate_1d'", "bounce_rate"))
 
 
 def _bounced(t: Tables, s: ReportSettings) -> DataFrame:
@@ -183,7 +163,7 @@ def _location_bounced(t: Tables, s: ReportSettings) -> DataFrame:
 
 
 def _vendor_bounced(t: Tables, s: ReportSettings) -> DataFrame:
-    return _values(bounces.vendor_bounced_orders(t), {"vendor_bounced_orders": "orders"})
+    return _values(bounces.vendor_bounced_orders(t), ("'vendor_bounced_orders'", "orders"))
 
 
 FAMILIES: tuple[Callable[[Tables, ReportSettings], DataFrame], ...] = (
