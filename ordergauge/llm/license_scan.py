@@ -3,8 +3,9 @@
 A template is a phrase or notice that names a license. Every run of ``GRAM`` words of a text is hashed and joined with
 the runs of the templates; a hit at text word i and template word j votes for the diagonal i - j. Runs of one occurrence
 vote for one diagonal, an insertion or a deletion only moves it a little, so neighbouring diagonals merge into a span,
-and a span is accepted by how much of the template its verified words cover. A hit is verified by comparing the words
-themselves, so a collision of hashes votes for nothing.
+and a span is accepted by how much of the template its verified words cover. Licenses of one family differ in little but
+their version, so of a template that names one, the run that holds it must be among the verified ones. A hit is verified
+by comparing the words themselves, so a collision of hashes votes for nothing.
 """
 
 from __future__ import annotations
@@ -28,12 +29,16 @@ BROADCAST_RUNS = 100_000
 
 @dataclass(frozen=True)
 class Template:
-    """``coverage``: the part of the template's runs that a span needs; a base template needs all, on one diagonal."""
+    """``coverage``: the part of the template's runs that a span needs; a base template needs all, on one diagonal.
+
+    ``versioned``: the phrase ends in the license's version, and a span needs its last run whatever else it covers.
+    """
 
     label: str
     phrase: str
     base: bool = False
     coverage: float = 0.6
+    versioned: bool = False
 
 
 #: The phrases that are counted.
@@ -44,7 +49,7 @@ BASE_TEMPLATES = (
 )
 #: Grant notices as the licenses give them, in lower case without punctuation.
 OWN_TEMPLATES = (
-    Template("agpl-3", "licensed under the gnu affero general public license version 3", coverage=0.8),
+    Template("agpl-3", "licensed under the gnu affero general public license version 3", coverage=0.8, versioned=True),
     Template(
         "apache-2",
         "you may not use this file except in compliance with the license you may obtain a copy of the license at",
@@ -56,10 +61,10 @@ OWN_TEMPLATES = (
     ),
     Template("cc-by", "licensed under cc by 4 0", coverage=1.0),
     Template("cc-by-sa", "licensed under cc by sa 4 0", coverage=1.0),
-    Template("gpl-2", "licensed under the gnu general public license version 2", coverage=0.8),
-    Template("gpl-3", "licensed under the gnu general public license version 3", coverage=0.8),
+    Template("gpl-2", "licensed under the gnu general public license version 2", coverage=0.8, versioned=True),
+    Template("gpl-3", "licensed under the gnu general public license version 3", coverage=0.8, versioned=True),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee"),
-    Template("lgpl-3", "licensed under the gnu lesser general public license version 3", coverage=0.8),
+    Template("lgpl-3", "licensed under the gnu lesser general public license version 3", coverage=0.8, versioned=True),
     Template("mit", "released under the mit license", coverage=1.0),
     Template(
         "mit",
@@ -67,7 +72,10 @@ OWN_TEMPLATES = (
         "documentation files",
     ),
     Template(
-        "mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", coverage=0.8
+        "mpl-2",
+        "this source code form is subject to the terms of the mozilla public license v 2 0",
+        coverage=0.8,
+        versioned=True,
     ),
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
@@ -79,15 +87,16 @@ def _run_hash(words: Column, at: Column) -> Column:
 
 
 def template_runs(spark: SparkSession, templates: tuple[Template, ...]) -> DataFrame:
-    """(template, label, base, coverage, runs, word, run, hash): one row for each run of each template."""
+    """(template, label, base, coverage, runs, word, run, needed, hash): one row for each run of each template."""
     if short := [t.phrase for t in templates if len(t.phrase.split()) < GRAM]:
         raise ValueError(f"templates of fewer than {GRAM} words: {short}")
     rows = []
     for number, t in enumerate(templates):
         words = t.phrase.split()
         runs = len(words) - GRAM + 1
-        rows += [(number, t.label, t.base, t.coverage, runs, at, words[at : at + GRAM]) for at in range(runs)]
-    kinds = "template int, label string, base boolean, coverage double, runs int, word int, run array<string>"
+        every = [at == runs - 1 or not t.versioned for at in range(runs)]
+        rows += [(number, t.label, t.base, t.coverage, runs, at, words[at : at + GRAM], every[at]) for at in range(runs)]
+    kinds = "template int, label string, base boolean, coverage double, runs int, word int, run array<string>, needed boolean"
     table = spark.createDataFrame(rows, kinds).withColumn("hash", _run_hash(F.col("run"), F.lit(0)))
     return F.broadcast(table) if len(rows) <= BROADCAST_RUNS else table
 
@@ -117,6 +126,7 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataF
     template = ["template", "label", "base", "coverage", "runs"]
     votes = hits.groupBy(*document, *template, (F.col("at") - F.col("word")).alias("diagonal")).agg(
         F.collect_set("word").alias("votes"),
+        F.max("needed").alias("needed"),
         F.min("at").alias("first"),
         F.max("at").alias("last"),
     )
@@ -127,11 +137,12 @@ def spans(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataF
     votes = votes.withColumn("span", F.sum("new").over(along))
     merged = votes.groupBy(*document, *template, "span").agg(
         F.size(F.array_distinct(F.flatten(F.collect_list("votes")))).alias("covered"),
+        F.max("needed").alias("needed"),
         F.min("first").alias("start"),
         (F.max("last") + GRAM).alias("stop"),
     )
     likeness = F.col("covered") / F.col("runs")
-    return merged.where(likeness >= F.col("coverage")).select(
+    return merged.where(F.col("needed") & (likeness >= F.col("coverage"))).select(
         *document, "label", "base", F.col("start").cast("long"), F.col("stop").cast("long"), likeness.alias("likeness")
     )
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from .license_scan import GRAM, SLACK, TEMPLATES
-
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
@@ -21,17 +19,39 @@ def line_dedup() -> str:
     from judged group by r, doc_id"""
 
 
-def licenses() -> str:
+#: (label, base, needed part, phrase, last run needed), kept apart from the templates of the operator
+LICENSES = (
+    ("mit", True, 1.0, "under the mit license", False),
+    ("apache-2", True, 1.0, "apache license version 2", False),
+    ("cc-by-nc", True, 1.0, "cc by nc", False),
+    ("agpl-3", False, 0.8, "licensed under the gnu affero general public license version 3", True),
+    ("apache-2", False, 0.6, "you may not use this file except in compliance with the license you may obtain a copy of the license at", False),
+    ("bsd", False, 0.6, "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", False),
+    ("cc-by", False, 1.0, "licensed under cc by 4 0", False),
+    ("cc-by-sa", False, 1.0, "licensed under cc by sa 4 0", False),
+    ("gpl-2", False, 0.8, "licensed under the gnu general public license version 2", True),
+    ("gpl-3", False, 0.8, "licensed under the gnu general public license version 3", True),
+    ("isc", False, 0.6, "permission to use copy modify and or distribute this software for any purpose with or without fee", False),
+    ("lgpl-3", False, 0.8, "licensed under the gnu lesser general public license version 3", True),
+    ("mit", False, 1.0, "released under the mit license", False),
+    ("mit", False, 0.6, "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", False),
+    ("mpl-2", False, 0.8, "this source code form is subject to the terms of the mozilla public license v 2 0", True),
+    ("unlicense", False, 0.6, "this is free and unencumbered software released into the public domain", False),
+)
+
+
+def licenses(gram: int = 3, slack: int = 2) -> str:
     rows = []
-    for number, t in enumerate(TEMPLATES):
-        words = t.phrase.split()
-        runs = len(words) - GRAM + 1
+    for number, (label, base, coverage, phrase, versioned) in enumerate(LICENSES):
+        words = phrase.split()
+        runs = len(words) - gram + 1
         rows += [
-            f"({number}, '{t.label}', {str(t.base).lower()}, {t.coverage}::double, {runs}, {j}, '{' '.join(words[j : j + GRAM])}')"
+            f"({number}, '{label}', {str(base).lower()}, {coverage}::double, {runs}, {j}, '{' '.join(words[j : j + gram])}', "
+            f"{str(not versioned or j == runs - 1).lower()})"
             for j in range(runs)
         ]
     return f"""
-    with runs(template, label, base, coverage, runs, j, run) as (values {", ".join(rows)}),
+    with runs(template, label, base, coverage, runs, j, run, needed) as (values {", ".join(rows)}),
     docs as (select row_number() over () as r, doc_id,
         regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') as words
       from documents),
@@ -40,10 +60,10 @@ def licenses() -> str:
       from placed window text as (partition by r order by i)),
     hits as (select t.r, t.i, p.* exclude (run) from texts t join runs p using (run)),
     stepped as (select *, lag(i - j) over (partition by r, template order by i - j, i) as before from hits),
-    grouped as (select *, sum((before is null or (base and i - j <> before) or i - j - before > {SLACK})::int)
+    grouped as (select *, sum((before is null or (base and i - j <> before) or i - j - before > {slack})::int)
         over (partition by r, template order by i - j, i rows unbounded preceding) as span from stepped),
     spans as (select r, label, base, min(i) as start, count(distinct j) / runs::double as likeness
-      from grouped group by r, template, label, base, coverage, runs, span having count(distinct j) / runs::double >= coverage)
+      from grouped group by r, template, label, base, coverage, runs, span having count(distinct j) / runs::double >= coverage and bool_or(needed))
     select d.doc_id, len(any_value(d.words)) as n_words, count(s.r) filter (where s.base) as n_base,
       min(s.start) filter (where s.base) as first_word, max(s.start) filter (where s.base) as last_word,
       coalesce(string_agg(distinct s.label, ',' order by s.label) filter (where s.base), '') as base_labels,
