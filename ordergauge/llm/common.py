@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import shutil
 import string
 import tempfile
@@ -34,11 +35,12 @@ def word_count(text: Column) -> Column:
 
 
 def _shared_folder(spark: SparkSession) -> None:
-    """Set a folder of our own for checkpoints where the session has none, as in tests."""
+    """Set the folder for checkpoints that the session names; on one machine alone, as in tests, else one of our own."""
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(
-            spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-", dir="/tmp")
-        )
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="run-", dir="/tmp"))
 
 
 def checkpointed(frame: DataFrame) -> DataFrame:

@@ -197,19 +197,21 @@ def rule_number(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, doc_id: str = "doc_id", text: str = "text") -> list[Rule]:
     """The rules learned from labelled documents (``quality`` 0 is junk).
 
-    ``sample`` bounds the labelled rows that are looked at, drawn by a seeded hash of the id; their statistics, a few
-    numbers each, come to the driver. Labels without id or quality, and those of unknown documents, count for nothing.
-    An id labelled or stored more than once gives a row for each pair.
+    ``sample`` bounds the labelled rows that are looked at, drawn by a seeded hash of the id; the statistics of one
+    document for each, a few numbers, come to the driver. Labels without id or quality, and those of unknown documents,
+    count for nothing. Of an id stored more than once the document of least statistics counts, however often it is
+    stored; an id labelled more than once gives a row for each quality. Labels of junk alone, or of none, give no rules.
     """
     drawn = (
         labels.where("doc_id is not null and quality is not null")
         .select(F.col("doc_id").alias("__id"), "quality")
+        .distinct()
         .orderBy(F.xxhash64(F.lit(7), "__id"), "__id", "quality")
         .limit(sample)
     )
     chosen = docs.select(F.col(doc_id).alias("__id"), F.col(text).alias("text")).join(F.broadcast(drawn), "__id")
-    found = statistics(chosen).select("__id", "quality", *STATISTICS)
-    rows = sorted(tuple(r) for r in found.collect())
+    found = statistics(chosen).groupBy("__id", "quality").agg(F.min(F.struct(*STATISTICS)).alias("least"))
+    rows = sorted(tuple(r) for r in found.select("__id", "quality", "least.*").collect())
     if not rows:
         return []
     table = np.array(rows, dtype=np.float64)

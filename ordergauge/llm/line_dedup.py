@@ -26,6 +26,8 @@ from .common import checkpointed, same_schema, small, with_arrays
 
 SLOTS = 4
 KICKS = 500
+#: part of the cells that keys may fill before a filter is built anew
+FULL = 0.85
 #: keys that one shard should hold, and copies of a filter among which a shard's lines are dealt
 SHARD_KEYS = 500_000
 SALTS = 8
@@ -159,11 +161,11 @@ def _row(shard, cuckoo: Cuckoo) -> pd.DataFrame:
 FILTER = "shard int, cells binary, stash array<bigint>"
 
 
-def _filters(references: DataFrame, shards: int) -> DataFrame:
-    """One filter for each shard that has a repeated key; the keys of a shard are bounded by the number of shards."""
+def _filters(references: DataFrame, shards: int, room: int = 1) -> DataFrame:
+    """One filter for each shard that has a repeated key, for ``room`` times as many."""
 
     def build(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        cuckoo = Cuckoo.sized(len(rows))
+        cuckoo = Cuckoo.sized(room * len(rows))
         cuckoo.insert(_hashes(rows["key"].sort_values()))
         return _row(shard[0], cuckoo)
 
@@ -186,12 +188,22 @@ def build_index(
     return LineIndex(postings, references, checkpointed(_filters(references, shards)), shards, least)
 
 
-def _changed_filters(index: LineIndex, old: DataFrame, new: DataFrame) -> DataFrame:
-    """The filters after the counts of some keys went from those in ``old`` to those in ``new``."""
+def _changed_filters(index: LineIndex, old: DataFrame, new: DataFrame, references: DataFrame) -> DataFrame:
+    """The filters after the counts of some keys went from those in ``old`` to those in ``new``.
+
+    A shard whose keys would fill more than ``FULL`` of its filter's cells gets a new one, twice as large as they need,
+    from the exact counts in ``references``.
+    """
+    wanted = references.where("documents > 1").groupBy(_shard(index.shards).alias("shard")).agg(F.count("*").alias("n"))
+    cells = index.filters.select("shard", F.expr("octet_length(cells) div 2").alias("cells"))
+    outgrown = checkpointed(wanted.join(cells, "shard").where(F.col("n") > FULL * F.col("cells")).select("shard"))
+    kept = index.filters.join(outgrown, "shard", "left_anti")
+    rebuilt = _filters(references.join(outgrown, _shard(index.shards) == F.col("shard"), "left_semi"), index.shards, 2)
     was = old.where("documents > 1").select("key", F.lit(True).alias("was"))
     now = new.where("documents > 1").select("key", F.lit(True).alias("now"))
     moved = was.join(now, "key", "full").where("was is null or now is null")
     moved = moved.select("key", F.col("now").isNotNull().alias("enters"), _shard(index.shards).alias("shard"))
+    moved = moved.join(outgrown, "shard", "left_anti")
 
     def change(shard: tuple, cells: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         if len(cells):
@@ -204,7 +216,10 @@ def _changed_filters(index: LineIndex, old: DataFrame, new: DataFrame) -> DataFr
             cuckoo.insert(_hashes(rows["key"][rows["enters"]]))
         return _row(shard[0], cuckoo)
 
-    return index.filters.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(change, FILTER)
+    # all under new names, for a cogroup mixes up columns that both sides have from the same frame
+    moved = moved.select(F.col("shard").alias("of"), F.col("key").alias("key"), F.col("enters").alias("enters"))
+    changed = kept.groupBy("shard").cogroup(moved.groupBy("of")).applyInPandas(change, FILTER)
+    return changed.unionByName(rebuilt)
 
 
 def _moved(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineIndex:
@@ -213,7 +228,7 @@ def _moved(index: LineIndex, postings: DataFrame, touched: DataFrame) -> LineInd
     before = index.references.join(touched, "key", "left_semi")
     after = checkpointed(_references(postings.join(touched, "key", "left_semi")))
     references = checkpointed(index.references.join(touched, "key", "left_anti").unionByName(after))
-    filters = checkpointed(_changed_filters(index, before, after))
+    filters = checkpointed(_changed_filters(index, before, after, references))
     return LineIndex(postings, references, filters, index.shards, index.least)
 
 

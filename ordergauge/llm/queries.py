@@ -75,13 +75,13 @@ def shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = sharding.interleaved_shards(table(spark, sf_dir, "documents"), SHARDS)
     return dealt.select(
         "doc_id",
-        "source",
         "size",
         "text_crc32",
         F.lit("rows").alias("law"),
         "shard",
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
+        "source",
     )
 
 
@@ -117,7 +117,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.copies(table(spark, sf_dir, "documents"))
     return mix.select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies"
     )
 
 

@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 HASH_BITS = 60
+#: buckets whose running totals are taken together
+STRETCH = 1024
 
 
 def _hash(*values: Column) -> Column:
@@ -25,12 +27,25 @@ def _hash(*values: Column) -> Column:
 
 
 def _offsets(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """(keys, bucket, rows of the keys in earlier buckets, rows of the keys)."""
+    """(keys, bucket, rows of the keys in earlier buckets, rows of the keys).
+
+    The running totals go in two steps, over stretches of ``STRETCH`` buckets and then inside of each, so that no task
+    has a row for every bucket.
+    """
     counts = rows.groupBy(*keys, bucket).agg(F.count("*").alias("n"))
+    counts = counts.withColumn("stretch", F.expr(f"`{bucket}` div {STRETCH}"))
     whole = Window.partitionBy(*keys)
-    before = whole.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    return counts.select(
-        *keys, bucket, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"), F.sum("n").over(whole).alias("total")
+    earlier = Window.unboundedPreceding, -1
+    sums = counts.groupBy(*keys, "stretch").agg(F.sum("n").alias("stretch_n"))
+    sums = sums.select(
+        *keys,
+        "stretch",
+        F.coalesce(F.sum("stretch_n").over(whole.orderBy("stretch").rowsBetween(*earlier)), F.lit(0)).alias("begin"),
+        F.sum("stretch_n").over(whole).alias("total"),
+    )
+    inside = F.sum("n").over(Window.partitionBy(*keys, "stretch").orderBy(bucket).rowsBetween(*earlier))
+    return counts.join(sums, [*keys, "stretch"]).select(
+        *keys, bucket, (F.col("begin") + F.coalesce(inside, F.lit(0))).alias("before"), "total"
     )
 
 

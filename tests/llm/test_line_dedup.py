@@ -114,3 +114,23 @@ def test_a_very_common_line_is_dealt_out(spark):
     finally:
         spark.conf.set(merge, "true")
     assert sum(r[1] for r in parts) >= 400 and max(r[1] for r in parts) < 300
+
+
+def test_filters_grow_with_what_is_added(spark):
+    """Twenty times the keys that the filters were built for: nearly all of them must still be in cells."""
+    def docs(low, high):
+        return frame(spark, [(2 * i + k, f"line number {i} of many", "en", "s", 1) for i in range(low, high) for k in (0, 1)])
+
+    index = line_dedup.build_index(docs(0, 100), shards=2)
+    whole = docs(0, 100)
+    for low, high in ((100, 400), (400, 2000)):
+        index = line_dedup.add_documents(index, docs(low, high))
+        whole = whole.unionByName(docs(low, high))
+    rows = index.filters.collect()
+    assert sum(len(r.stash) for r in rows) < 5 and sum(len(r.cells) // 2 for r in rows) > 2000
+    assert {r.shard for r in rows} == {0, 1}
+    found = line_dedup.drop_repeated_lines(whole, index).select("doc_id", "kept_text", "n_lines", "n_dropped")
+    assert plain(found.collect()) == plain(line_dedup.dedup_lines(whole).select(*found.columns).collect())
+    gone = line_dedup.delete_documents(index, docs(100, 2000).select("doc_id"))
+    left = line_dedup.drop_repeated_lines(docs(0, 100), gone).where("n_dropped > 0").count()
+    assert left == 100
