@@ -764,12 +764,14 @@ def bodies() -> dict[str, str]:
         "return_rate": return_rate(DAYS),
         "return_to_shelf": return_to_shelf(),
         "scorecard": scorecard(),
+        "scorecard_file": scorecard(),
         "ship_from_store_success_rate": ship_from_store_success_rate(),
         "sla_grade": sla_grade(),
         "stale_pick_status": stale_pick_status(),
         "status_fill": status_fill(),
         "store_bounce_rate": store_bounce_rate(365),
         "stuck_in_allocated": stuck_in_allocated(HOURS),
+        "ticket_pages": "select ticket_key, project, priority, component, status_category, created from tickets",
         "time_to_release": time_to_release(HOURS),
         "time_to_release_orders": time_to_release_orders(HOURS),
         "time_to_release_cumulative": time_to_release(HOURS, cumulative=True),

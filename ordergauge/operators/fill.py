@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.rates import floor2, floor_percent, ratio
 from ..functions.texts import aggregated, distinct_rows, plain_texts, same_text
-from ..functions.times import AsOf, Days, ago, day_of, since, ts, until, windows_of
+from ..functions.times import AsOf, Days, ago, day_of, join_keys, since, ts, until, windows_of
 from ..functions.windows import per_window
-from ..sources.tables import Tables
+from ..sources.tables import Tables, renamed
 
 # Location sub-types in report order.
 SUB_TYPES = ("3PL", "DropShipVendor", "OwnedWM", "StoreRegular")
@@ -43,7 +43,7 @@ def fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
     measures = ("fulfilled_quantity", "cancelled_quantity")
     per_release = (
         since(tables["ord_release_line"], "created_timestamp", ago(as_of, days=windows[-1]), inclusive=False)
-        .groupBy("release_pk")
+        .groupBy(*join_keys(tables["ord_release_line"], tables["ord_release"], "release_pk"))
         .agg(
             *[
                 F.sum(F.when(_newer(as_of, d, "created_timestamp"), F.col(name))).alias(f"{name}_{d}")
@@ -52,17 +52,20 @@ def fill_rate(tables: Tables, as_of: AsOf, days: Days = 1) -> DataFrame:
             ]
         )
     )
-    places = (
-        tables["ord_release"]
-        .select(F.col("pk").alias("release_pk"), F.col("ship_from_location_id").alias("location_id"))
-        .join(tables["inv_location"].select("location_id", "location_sub_type_id"), "location_id")
+    places = renamed(tables["ord_release"], {"pk": "release_pk", "ship_from_location_id": "location_id"}).join(
+        tables["inv_location"].select("location_id", "location_sub_type_id"), "location_id"
     )
 
     def sums(d: int) -> dict[str, Column]:
         return {name: F.sum(f"{name}_{d}") for name in measures}
 
     return (
-        per_window(per_release.join(places, "release_pk"), ["location_sub_type_id"], windows, sums)
+        per_window(
+            per_release.join(places, join_keys(per_release, places, "release_pk")),
+            ["location_sub_type_id"],
+            windows,
+            sums,
+        )
         .withColumn("fill_rate", _fill_share("fulfilled_quantity", "cancelled_quantity"))
         .filter(F.col("fill_rate").isNotNull())
         .withColumn("fill_rate_pct", floor_percent(F.col("fill_rate")))
@@ -225,11 +228,11 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
     """
     first = min(start for start, _ in periods.values())
     last = max(end for _, end in periods.values())
-    cancels = (
-        tables["ord_order_line_cancel_history"]
-        .groupBy(F.col("order_line_pk").alias("line_pk"), "cancel_quantity")
-        .agg(F.count("*").alias("entries"))
+    history = renamed(
+        tables["ord_order_line_cancel_history"], {"order_line_pk": "line_pk", "cancel_quantity": "cancel_quantity"}
     )
+    line_key = join_keys(history, tables.spine, "line_pk")
+    cancels = history.groupBy(*line_key, "cancel_quantity").agg(F.count("*").alias("entries"))
     inside = F.filter(
         F.array(
             *[
@@ -258,7 +261,7 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
     released = aggregated(
         shipped,
         [
-            "line_pk",
+            *line_key,
             "org_id",
             "order_id",
             "item_id",
@@ -276,7 +279,7 @@ def ship_from_store_success_rate(tables: Tables, periods: Mapping[str, tuple[dat
     line = ["period", "org_id", "order_id", "item_id", "order_line_id", "return_line_count"]
     entries = F.coalesce("entries", F.lit(1))
     entered = aggregated(
-        released.join(cancels, "line_pk", "left").select("*", F.explode("periods").alias("period")),
+        released.join(cancels, line_key, "left").select("*", F.explode("periods").alias("period")),
         [*line, "line_type_id", "line_quantity", "cancel_quantity"],
         F.sum(F.col("released") * entries).alias("released"),
         F.sum(F.col("fulfilled") * entries).alias("success"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -63,6 +64,14 @@ def shared_folder(spark: SparkSession) -> str | None:
     return f"{root.rstrip('/')}/ordergauge-{uuid.uuid4().hex}" if root else None
 
 
+def work_folder(spark: SparkSession) -> str:
+    """As ``shared_folder``; without the setting a temporary folder if the session runs on this machine alone."""
+    folder = shared_folder(spark)
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return folder or f"{tempfile.mkdtemp(prefix='run-', dir='/tmp')}/work"
+
+
 def remove_folder(spark: SparkSession, folder: str) -> None:
     """Delete a folder that ``shared_folder`` named, if it is there."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)

@@ -34,6 +34,11 @@ JOINS = {
 JOINS["spine"] = JOINS["line_facts"] | JOINS["release_facts"] | JOINS.keys()
 
 
+def by_update(name: str) -> str:
+    """Under what name a table is known that is laid out by its last update (see ``sources.layout``)."""
+    return f"{name}__by_update"
+
+
 class Tables:
     """Logical tables by name, loaded and conformed on first use. ``load`` raises KeyError(name) for a name it does not know.
 
@@ -60,6 +65,7 @@ class Tables:
         Stored joins that one of these tables is part of are made anew.
         """
         stale = {name for name, parts in JOINS.items() if parts & frames.keys() and name not in frames}
+        stale |= {by_update(name) for name in frames}
 
         def load(name: str) -> DataFrame:
             if name in frames:
@@ -81,6 +87,16 @@ class Tables:
                 self._plans[name] = build()
         return self._plans[name]
 
+    def _updated(self, name: str) -> DataFrame | None:
+        """The table as it is laid out by its last update, if it is."""
+        try:
+            frame = self[by_update(name)]
+        except KeyError as unknown:
+            if unknown.args != (by_update(name),):
+                raise
+            return None
+        return conformed(name, frame)
+
     @property
     def release_facts(self) -> DataFrame:
         """One row per release line, with its release and the sub-types of the location it ships from.
@@ -130,16 +146,28 @@ class Tables:
         placed = releases.join(inventory, "ship_from_location_id", "left").join(
             organization, "ship_from_location_id", "left"
         )
-        return lines.join(placed, "release_pk")
+        return lines.join(placed, join_keys(lines, placed, "release_pk"))
 
     @property
     def line_facts(self) -> DataFrame:
         """One row per order line, with the columns of its order that the metrics read."""
-        return self._derived("line_facts", self._line_facts)
+        return self._derived("line_facts", lambda: self._line_facts(self["ord_order_line"]))
+
+    @property
+    def line_updates(self) -> DataFrame | None:
+        """``line_facts`` for windows on the lines' last update, if the lines are laid out by its day; else None."""
+        lines = self._updated("ord_order_line")
+        return None if lines is None else self._derived("line_updates", lambda: self._line_facts(lines))
+
+    @property
+    def order_updates(self) -> DataFrame:
+        """``orders`` for windows on their last update."""
+        found = self._updated("ord_order")
+        return self.orders if found is None else self._orders(found)
 
-    def _line_facts(self) -> DataFrame:
+    def _line_facts(self, order_lines: DataFrame) -> DataFrame:
         lines = renamed(
-            self["ord_order_line"],
+            order_lines,
             {
                 "pk": "line_pk",
                 "order_pk": "order_pk",
@@ -164,13 +192,17 @@ class Tables:
                 "promised_delivery_date": "promised_delivery",
             },
         )
-        return lines.join(self.orders, "order_pk")
+        orders = self.orders
+        return lines.join(orders, join_keys(lines, orders, "order_pk"))
 
     @property
     def orders(self) -> DataFrame:
         """One row per order, with the columns that the metrics read."""
+        return self._orders(self["ord_order"])
+
+    def _orders(self, rows: DataFrame) -> DataFrame:
         return renamed(
-            self["ord_order"],
+            rows,
             {
                 "pk": "order_pk",
                 "order_id": "order_id",
@@ -217,9 +249,11 @@ def join_spine(release_facts: DataFrame, line_facts: DataFrame) -> DataFrame:
 
 def parquet_tables(spark: SparkSession, folder: str) -> Tables:
     """Tables stored as ``folder/<name>``, plain or laid out by date (see ``sources.layout``)."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    stored = {s.getPath().getName() for s in path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)}
 
     def load(name: str) -> DataFrame:
-        if name not in SCHEMAS:
+        if name not in stored or name not in SCHEMAS.keys() | set(map(by_update, SCHEMAS)):
             raise KeyError(name)
         return spark.read.parquet(f"{folder}/{name}")
 

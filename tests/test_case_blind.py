@@ -18,7 +18,7 @@ from tests.random_rows import mixed_case, random_rows
 from tests.support import duck_result, duck_tables, spark_result, spark_tables
 from tests.test_scale import plan_of, pruned_scans
 
-NAMES = [name for name in sorted(entry.operators()) if name not in ("metric_values", "scorecard")]
+NAMES = [name for name in sorted(entry.operators()) if name not in ("metric_values", "scorecard", "scorecard_file", "ticket_pages")]
 
 
 def lowered(result):

@@ -1,0 +1,77 @@
+"""Ticket pages and scorecard files, whole and broken."""
+
+import glob
+import json
+import os
+
+import duckdb
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from ordergauge.plans import scorecard
+from ordergauge.sources.sinks import write_scorecard
+from ordergauge.sources.tickets import broken_pages, read_ticket_pages
+from tests.support import duck_result, spark_result
+from tests.test_against_sql import SF_DIR, base  # noqa: F401
+from tests.test_scorecard import issue
+
+
+@pytest.mark.parametrize("name", ["ticket_pages", "scorecard_file"])
+def test_on_test_data(spark, base, name):  # noqa: F811
+    assert spark_result(entry.queries()[name](spark, SF_DIR)) == duck_result(base, entry.oracle_sql()[name])
+
+
+def page(path, name, issues, start=0):
+    (path / f"{name}.json").write_text(json.dumps({"startAt": start, "total": 9, "issues": issues}))
+
+
+def state(key, updated=None, **given):
+    found = issue(key, **given)
+    if updated:
+        found["fields"]["updated"] = f"2024-02-0{updated}T00:00:00.000+0000"
+    return found
+
+
+def test_the_state_updated_last_counts(spark, tmp_path):
+    page(tmp_path, "a", [state("A", 3, status="Done"), state("B", 1, component=("x", "y")), state("C", status="Old")], 0)
+    page(tmp_path, "b", [state("A", 2, status="To Do"), state("B", 4, component=("z",)), state("C", status="New")], 100)
+    page(tmp_path, "c", [state("C", 1, status="Dated"), state("D"), state("D"), state("E", component=())], 0)
+    rows = read_ticket_pages(spark, str(tmp_path)).collect()
+    found = {(r.ticket_key, r.component): r.status_category for r in rows}
+    assert len(rows) == len(found) and found == {
+        ("A", "critical"): "Done", ("B", "z"): "To Do", ("C", "critical"): "Dated", ("D", "critical"): "To Do", ("E", None): "To Do",
+    }
+
+
+def test_broken_pages_are_put_aside(spark, tmp_path):
+    pages, aside = tmp_path / "pages", tmp_path / "aside"
+    pages.mkdir()
+    page(pages, "good", [state("A")])
+    (pages / "cut.json").write_text(json.dumps({"startAt": 0, "issues": [state("B")]})[:-40])
+    (pages / "login.json").write_text("<html>please sign in</html>")
+    (pages / "error.json").write_text('{"errorMessages": ["too many requests"]}')
+    page(pages, "none", [])
+    rows = read_ticket_pages(spark, str(pages), str(aside)).collect()
+    assert [r.ticket_key for r in rows] == ["A"]
+    kept = spark.read.parquet(str(aside)).collect()
+    assert {os.path.basename(r.file) for r in kept} == {"cut.json", "login.json", "error.json"}
+    assert any("please sign in" in (r.page or "") for r in kept)
+    assert broken_pages(spark, str(pages)).count() == 3
+
+
+@pytest.mark.parametrize("form", ["csv", "parquet"])
+def test_a_failed_write_leaves_the_old_card(spark, tmp_path, form):
+    values = spark.createDataFrame([("cancel_rate_1d", 1.5, None)], "metric_id string, value double, label string")
+    card = scorecard.scorecard(values, scorecard.goals(spark))
+    path = str(tmp_path / "card")
+    write_scorecard(card, path, form)
+    before = {f: open(f, "rb").read() for f in glob.glob(f"{path}/part-*")}
+    failing = card.withColumn("comment", F.when(F.col("row_no") == 60, F.raise_error(F.lit("stop"))).otherwise(F.col("comment")))
+    with pytest.raises(Exception, match="stop"):
+        write_scorecard(failing, path, form)
+    assert {f: open(f, "rb").read() for f in glob.glob(f"{path}/part-*")} == before
+    assert os.listdir(tmp_path) == ["card"]
+    # and a good one takes its place
+    write_scorecard(card.withColumn("comment", F.lit("new")), path, form)
+    assert os.listdir(tmp_path) == ["card"] and {f: open(f, "rb").read() for f in glob.glob(f"{path}/part-*")} != before

@@ -1,0 +1,118 @@
+"""Tables stored by the days that windows cut them by: their own, their order's, and that of the last update."""
+
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+import __spark_entry__ as entry
+from ordergauge.operators import bounces, cancels, fill
+from ordergauge.session import shared_folder
+from ordergauge.sources.layout import write_tables
+from ordergauge.sources.samples import VIEWS, sample_tables
+from ordergauge.sources.schemas import SCHEMAS
+from ordergauge.sources.tables import by_update, parquet_tables
+from tests.random_rows import NOW, random_rows
+from tests.support import spark_result, spark_tables
+from tests.test_scale import SF_DIR, plan_of
+
+
+@pytest.fixture(scope="module")
+def stored(spark):
+    """The test data, plain and laid out by month."""
+    folder = shared_folder(spark)
+    plain = sample_tables(spark, SF_DIR)
+    write_tables(plain, VIEWS, folder, grain="month")
+    return plain, parquet_tables(spark, folder)
+
+
+def scans(plan):
+    """(columns, partition filters) of each scan."""
+    return re.findall(r"FileScan parquet \[(.*?)\].*?PartitionFilters: \[([^\]]*)\]", plan)
+
+
+def filters_on(plan, column, *read):
+    """The partition filters of the scans that read all of some columns."""
+    return [cut for columns, cut in scans(plan) if column in cut and all(f"{c}#" in columns for c in read)]
+
+
+UPDATES = ["cancel_rate", "max_cancel_rate", "fulfilment_cancel_share", "fulfilment_cancel_share_chain"]
+
+
+@pytest.mark.parametrize("name", [*UPDATES, "store_bounce_rate", "vendor_bounce_rate"])
+def test_windows_on_updates_skip_partitions(spark, stored, name):
+    build = entry.operators()[name]
+    plain, laid_out = stored
+    plan = plan_of(build(spark, laid_out))
+    assert filters_on(plan, "updated_timestamp_month", "updated_timestamp")
+    assert spark_result(build(spark, laid_out)) == spark_result(build(spark, plain))
+
+
+def test_created_and_updated_lines_are_two_pruned_branches(spark, stored):
+    plan = plan_of(cancels.cancel_rate(stored[1], entry.AS_OF, [1, 7]))
+    # the scan that says which days of orders are needed is one of them, repeated
+    lines = {re.sub(r"#\d+", "", cut) for columns, cut in scans(plan) if "order_line_sub_total#" in columns}
+    assert len(lines) == 2
+    assert sum("updated_timestamp_month" in cut for cut in lines) == sum("created_timestamp_month" in cut for cut in lines) == 1
+    # the orders of updated lines are found by their own day
+    assert any("dynamicpruning" in cut for columns, cut in scans(plan) if "max_return_status_id#" in columns)
+
+
+@pytest.mark.parametrize("grain", ["date", "month"])
+def test_updates_of_random_rows(spark, tmp_path, grain):
+    rows = random_rows(41, 80)
+    rows["ord_order_line"] = [r | {"updated_timestamp": None} if r["pk"] % 7 == 0 else r for r in rows["ord_order_line"]]
+    plain = spark_tables(spark, rows)
+    write_tables(plain, SCHEMAS, str(tmp_path), grain=grain)
+    laid_out = parquet_tables(spark, str(tmp_path))
+    for name in ("ord_order", "ord_order_line"):
+        assert laid_out[by_update(name)].count() == plain[name].count() > 0
+    assert laid_out["ord_release_line"].count() == plain["ord_release_line"].count()
+    for name in (*UPDATES, "store_bounce_rate", "vendor_bounce_rate", "fill_rate", "unique_fill_rate", "promise_released"):
+        build = entry.operators()[name]
+        assert spark_result(build(spark, laid_out)) == spark_result(build(spark, plain)), name
+
+
+def test_a_replaced_table_forgets_its_layout_by_update(spark, stored):
+    plain, laid_out = stored
+    old = F.col("updated_timestamp") < F.lit(NOW.replace(month=7, day=20)).cast("timestamp_ntz")
+    for name, metric in (("ord_order_line", cancels.cancel_rate), ("ord_order", bounces.store_bounce_rate)):
+        kept = {name: laid_out[name].filter(~old)}
+        assert 0 < kept[name].count() < laid_out[name].count()
+        want = spark_result(metric(plain.replaced({name: plain[name].filter(~old)}), entry.AS_OF, 30))
+        assert spark_result(metric(laid_out.replaced(kept), entry.AS_OF, 30)) == want
+
+
+def test_release_lines_have_two_days(spark, stored):
+    plain, laid_out = stored
+    # a window on the lines' own day skips other days of lines, and by way of the orders' days other releases
+    plan = plan_of(fill.fill_rate(laid_out, entry.AS_OF, 7))
+    assert filters_on(plan, "created_timestamp_month", "fulfilled_quantity")
+    assert any("dynamicpruning" in cut for columns, cut in scans(plan) if "ship_from_location_id#" in columns)
+    plan = plan_of(fill.unique_fill_rate(laid_out, entry.AS_OF, 7))
+    assert filters_on(plan, "created_timestamp_month", "fulfilled_quantity")
+    # a window on orders skips releases and release lines of other orders
+    plan = plan_of(fill.first_pick_fill_rate(laid_out, entry.AS_OF, 7))
+    assert filters_on(plan, "order_created_month", "release_pk", "cancelled_quantity")
+    assert filters_on(plan, "order_created_month", "ship_from_location_id")
+    for build in (fill.fill_rate, fill.unique_fill_rate, fill.first_pick_fill_rate, fill.fill_rate_gap):
+        assert spark_result(build(laid_out, entry.AS_OF, [7, 30])) == spark_result(build(plain, entry.AS_OF, [7, 30]))
+
+
+CHILDREN = {
+    "promise_released": ["order_pk"],
+    "promise_delivered": ["tracking_number"],
+    "ship_from_store_success_rate": ["cancel_quantity"],
+}
+
+
+@pytest.mark.parametrize("name", CHILDREN)
+def test_children_of_orders_are_read_by_the_orders_days(spark, stored, name):
+    plain, laid_out = stored
+    build = entry.operators()[name]
+    plan = plan_of(build(spark, laid_out))
+    assert filters_on(plan, "order_created_month", *CHILDREN[name])
+    if name == "promise_delivered":
+        details = [cut for columns, cut in scans(plan) if "tracking_number#" in columns]
+        assert len(details) >= 2 and all("order_created_month" in cut for cut in details)
+    assert spark_result(build(spark, laid_out)) == spark_result(build(spark, plain))

@@ -20,7 +20,7 @@ from tests.random_rows import NOW, random_rows
 from tests.support import duck_result, duck_tables, spark_result, spark_tables
 
 SF_DIR = "/root/testdata/sf0.001"
-OPERATORS = [name for name in sorted(entry.operators()) if name not in ("metric_values", "scorecard")]
+OPERATORS = [name for name in sorted(entry.operators()) if name not in ("metric_values", "scorecard", "scorecard_file", "ticket_pages")]
 
 
 @pytest.fixture(scope="module")
