@@ -66,11 +66,30 @@ def join_keys(left: DataFrame, right: DataFrame, *keys: str) -> list[str]:
     return [*keys, *(partition_column("order_created", grain) for grain in sorted(shared))]
 
 
+#: column metadata: from when on the rows of a stored join are whole, as far as windows on this column go
+HELD_FROM = "held_from"
+
+
+def held_from(df: DataFrame, start: datetime, *columns: str) -> DataFrame:
+    """``df`` with the note that its history begins at ``start`` for windows on these columns."""
+    for column in columns:
+        df = df.withMetadata(column, {HELD_FROM: start.isoformat()})
+    return df
+
+
+def _check_history(df: DataFrame, column: str, start: datetime) -> None:
+    held = df.schema[column].metadata.get(HELD_FROM)
+    if held and start < datetime.fromisoformat(held):
+        raise ValueError(f"the stored rows begin at {held}, a window on {column} from {start.isoformat()} needs more")
+
+
 def since(df: DataFrame, column: str, start: datetime, inclusive: bool = True) -> DataFrame:
     """Rows with ``column`` at or after ``start`` (strictly after it if not ``inclusive``), without an upper end.
 
-    If ``df`` is laid out by date of that column, the added test on the date lets whole partitions be skipped.
+    If ``df`` is laid out by date of that column, the added test on the date lets whole partitions be skipped. Of a stored
+    join that holds less history than that, a window is refused.
     """
+    _check_history(df, column, start)
     stamp = F.col(column)
     keep = stamp >= ts(start) if inclusive else stamp > ts(start)
     for grain, name in partition_columns(df, column).items():

@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from ordergauge.functions.times import ago
 from ordergauge.operators import bounces, cancels, fill
+from ordergauge.plans.shared import with_stored_facts
 from ordergauge.session import shared_folder
 from ordergauge.sources.layout import write_tables
 from ordergauge.sources.samples import VIEWS, sample_tables
@@ -116,3 +118,19 @@ def test_children_of_orders_are_read_by_the_orders_days(spark, stored, name):
         details = [cut for columns, cut in scans(plan) if "tracking_number#" in columns]
         assert len(details) >= 2 and all("order_created_month" in cut for cut in details)
     assert spark_result(build(spark, laid_out)) == spark_result(build(spark, plain))
+
+
+@pytest.mark.parametrize("grain", [None, "month"])
+def test_stored_joins_refuse_windows_that_they_do_not_hold(spark, grain):
+    tables = spark_tables(spark, random_rows(17, 60))
+    start = ago(entry.AS_OF, days=30)
+    held = with_stored_facts(spark, tables, grain=grain, since=start)
+    for name, build in {
+        "order_created": lambda t, days: fill.first_pick_fill_rate(t, entry.AS_OF, days),
+        "line_updated": lambda t, days: cancels.fulfilment_cancel_share(t, entry.AS_OF, days),
+    }.items():
+        assert spark_result(build(held, [1, 30])) == spark_result(build(tables, [1, 30])), name
+        with pytest.raises(ValueError, match=f"a window on {name} from"):
+            build(held, [1, 31])
+    # lists without a window show all open work
+    assert spark_result(bounces.bounced_orders(held, 1)) == spark_result(bounces.bounced_orders(tables, 1))
