@@ -1,11 +1,16 @@
 """What a task and the disk hold does not grow with the tables."""
 
+import os
+
 import __spark_entry__ as entry
 from ordergauge.plans import metrics
-from ordergauge.session import shuffles_removed
+from ordergauge.session import configure, shuffles_removed, stored_bytes
+from ordergauge.sources.samples import BASE_TABLES
 from tests.random_rows import random_rows
 from tests.support import spark_result, spark_tables
 
+SF_DIR = "/root/testdata/sf0.001"
+
 
 def shuffle_files(spark):
     files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
@@ -29,3 +34,30 @@ def test_the_setting_is_as_before(spark):
     with shuffles_removed(spark):
         assert spark.conf.get(name) == "true"
     assert spark.conf.get(name, None) == before
+
+
+def test_shuffle_partitions_follow_the_tables(spark, monkeypatch):
+    paths = [f"{SF_DIR}/{name}.parquet" for name in BASE_TABLES]
+    read = sum(map(os.path.getsize, paths))
+    assert stored_bytes(spark, [*paths, f"{SF_DIR}/no_such_table.parquet"]) == read
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(entry, "SHUFFLE_SHARE", 4096)
+    try:
+        entry.queries()["fill_rate"](spark, SF_DIR)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == -(-read // 4096) > int(before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_a_task_reads_a_bounded_share(spark, tmp_path):
+    """A step that shuffles many times a task's share runs as many tasks, not as many as there are cores."""
+    configure(spark)
+    path = str(tmp_path / "large")
+    spark.range(0, 9_000_000, 1, 2).selectExpr("xxhash64(id) as k", "id").write.parquet(path)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        groups = spark.read.parquet(path).groupBy("k").count()
+        assert groups.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
