@@ -1,0 +1,36 @@
+from ordergauge.llm import near_copies
+from ordergauge.llm.components import components
+from ordergauge.llm.simhash_pivots import fingerprint_of
+from tests.llm.support import frame
+from tests.llm.test_near_copies import expected, shingles, similarity
+
+
+def rows_of(groups=8):
+    """Long texts, each with a copy whose last word differs, and a half of it."""
+    rows = []
+    for g in range(groups):
+        words = [f"w{g}x{i}" for i in range(900)]
+        texts = [words, [*words[:-1], "other"], words[:450]]
+        rows += [(3 * g + i, " ".join(x), "en", "s", 1) for i, x in enumerate(texts)]
+    return rows
+
+
+def test_pivot_tables_alone_link_the_closest(spark, monkeypatch):
+    rows = rows_of()
+    monkeypatch.setattr(near_copies, "links_of", lambda buckets, sets, similar, links: components(links))
+    got = {r.doc_id for r in near_copies.representatives(frame(spark, rows)).collect()}
+    assert got < {r[0] for r in rows} and got >= set(expected(rows)[0])
+    prints = [fingerprint_of(r[1].encode(), 5) for r in rows]
+    for i in range(0, len(rows), 3):
+        close = ((prints[i] ^ prints[i + 1]) & ((1 << 64) - 1)).bit_count() <= near_copies.RADIUS
+        assert (i + 1 not in got) == close
+
+
+def test_close_fingerprints_are_only_looked_at(spark):
+    """Nodes of one fingerprint or of close ones are pairs to verify, and no link by themselves."""
+    nodes = spark.createDataFrame([(1, 0), (2, 0), (3, 7), (4, 15 << 20)], "node long, fingerprint long")
+    pairs = {tuple(sorted(r)) for r in near_copies.close_pairs(nodes).collect()}
+    assert pairs == {(1, 2), (1, 3)}
+    rows = [(1, "a b c d e", "en", "s", 1), (2, "a b c d f", "en", "s", 1)]
+    assert similarity(*(shingles(r[1]) for r in rows)) == 0
+    assert near_copies.representatives(frame(spark, rows)).count() == 2
