@@ -2,8 +2,11 @@
 
 import os
 
+import pytest
+
 import __spark_entry__ as entry
 from ordergauge.llm import near_copies
+from ordergauge.operators import promises
 from ordergauge.plans import metrics
 from ordergauge.session import configure, shuffles_removed, stored_bytes
 from ordergauge.sources.samples import BASE_TABLES
@@ -29,6 +32,21 @@ def test_the_report_leaves_no_shuffle_files(spark):
     assert got == spark_result(metrics.metric_values(tables, entry.SETTINGS))
 
 
+@pytest.mark.parametrize("name", ["promise_compliance"])
+def test_promises_are_counted_one_kind_at_a_time(spark, monkeypatch, name):
+    """Each kind is stored and its shuffle files go before the next begins; as one plan the rows are the same."""
+    tables = spark_tables(spark, random_rows(11, 60))
+    before = shuffle_files(spark)
+    found = entry.operators()[name](spark, tables)
+    assert not shuffle_files(spark) - before
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = spark_result(found)
+    monkeypatch.setattr(promises, "shared_folder", lambda spark: None)
+    whole = entry.operators()[name](spark, tables)
+    assert "Join" in whole._jdf.queryExecution().executedPlan().toString()
+    assert got[1] and got == spark_result(whole)
+
+
 def test_near_dedup_leaves_no_shuffle_files(spark):
     """Neither those of the stored steps nor those of the rounds of components, and the last step still runs twice."""
     words = [f"word{i}" for i in range(60)]
