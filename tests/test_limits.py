@@ -32,7 +32,7 @@ def test_the_report_leaves_no_shuffle_files(spark):
     assert got == spark_result(metrics.metric_values(tables, entry.SETTINGS))
 
 
-@pytest.mark.parametrize("name", ["promise_compliance"])
+@pytest.mark.parametrize("name", ["promise_compliance", "promise_success_rate"])
 def test_promises_are_counted_one_kind_at_a_time(spark, monkeypatch, name):
     """Each kind is stored and its shuffle files go before the next begins; as one plan the rows are the same."""
     tables = spark_tables(spark, random_rows(11, 60))
