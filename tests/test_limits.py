@@ -7,9 +7,12 @@ import pytest
 import __spark_entry__ as entry
 from ordergauge.llm import near_copies
 from ordergauge.operators import promises
-from ordergauge.plans import metrics
+from ordergauge.plans import metrics, shared
 from ordergauge.session import configure, shuffles_removed, stored_bytes
+from ordergauge.sources.layout import write_tables
 from ordergauge.sources.samples import BASE_TABLES
+from ordergauge.sources.schemas import SCHEMAS
+from ordergauge.sources.tables import parquet_tables
 from tests.random_rows import random_rows
 from tests.support import spark_result, spark_tables
 
@@ -32,6 +35,34 @@ def test_the_report_leaves_no_shuffle_files(spark):
     assert got == spark_result(metrics.metric_values(tables, entry.SETTINGS))
 
 
+@pytest.mark.parametrize("grain", [None, "month"])
+def test_shared_joins_are_stored_in_passes(spark, tmp_path, monkeypatch, grain):
+    """Large tables in several, each a share of the keys; the rows are those of the plain joins, and only they stay."""
+    rows = random_rows(11, 60)
+    rows["ord_order_line"] += [r | {"order_pk": None} for r in rows["ord_order_line"][:2]]
+    rows["ord_release"] += [r | {"order_pk": None} for r in rows["ord_release"][:2]]
+    rows["ord_release_line"] += rows["ord_release_line"][:9]
+    write_tables(spark_tables(spark, rows), SCHEMAS, str(tmp_path / "tables"), grain=None)
+    tables = parquet_tables(spark, str(tmp_path / "tables"))
+    assert shared._passes(spark, tables) == 1
+    monkeypatch.setattr(shared, "PASS_BYTES", 4096)
+    assert 1 < shared._passes(spark, tables) <= shared.PASSES
+    start = metrics.history_start(entry.SETTINGS)
+    for since in (None, start):
+        before = shuffle_files(spark)
+        folder = tmp_path / f"joins {since}"
+        found = shared.with_stored_facts(spark, tables, str(folder), grain, since)
+        assert not shuffle_files(spark) - before
+        assert sorted(os.listdir(folder)) == ["line_facts", "spine"]
+        for name in ("line_facts", "spine"):
+            plain = getattr(tables, name)
+            if since:
+                keep = shared._touched(plain, since)
+                plain = plain.where(keep | shared._still_open(plain) if name == "spine" else keep)
+            got = spark_result(getattr(found, name).select(*plain.columns))
+            assert got[1] and got == spark_result(plain)
+
+
 @pytest.mark.parametrize("name", ["promise_compliance", "promise_success_rate"])
 def test_promises_are_counted_one_kind_at_a_time(spark, monkeypatch, name):
     """Each kind is stored and its shuffle files go before the next begins; as one plan the rows are the same."""
